@@ -44,3 +44,13 @@ def discard(spark: SparkSession, path: str) -> None:
 def fold(id_column: str, parts: int) -> Column:
     """The id's part of `parts`: crc32 of its decimal text."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % parts
+
+
+def piece_model(path: str | None = None) -> bytes:
+    """The bytes of a SentencePiece model (half a megabyte), by default of the installed public tokenizers."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()

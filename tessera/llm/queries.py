@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import warc
-from tessera.llm.common import shared_dir, table
+from tessera.llm import pieces, warc
+from tessera.llm.common import piece_model, shared_dir, table
 
 ORACLES: dict[str, str] = {}
 
@@ -29,3 +29,8 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
 FROM grouped
 """
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
+    """Encode and decode every text of documents with the 32k BPE pieces."""
+    return pieces.encode(table(spark, sf_dir, "documents"), piece_model(model_path), whole=False)
