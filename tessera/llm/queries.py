@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import pieces, warc
-from tessera.llm.common import piece_model, shared_dir, table
+from tessera.llm import decontamination, pieces, toxicity, warc
+from tessera.llm.common import fold, piece_model, shared_dir, table
 
 ORACLES: dict[str, str] = {}
 
@@ -34,3 +34,21 @@ FROM grouped
 def op9_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """Encode and decode every text of documents with the 32k BPE pieces."""
     return pieces.encode(table(spark, sf_dir, "documents"), piece_model(model_path), whole=False)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every text; labels are learned from the rows outside fold 0 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (F.coalesce(fold("doc_id", 5), F.lit(1)) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in each document: doc_id, number of items, their ids, least edit distance."""
+    found = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("doc_id").agg(
+        F.countDistinct("item_id").alias("n_items"),
+        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
+        F.min("errors").alias("least_errors"),
+    )
