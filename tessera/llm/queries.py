@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, pieces, toxicity, warc
+from tessera.llm import decontamination, pieces, topk, toxicity, warc
 from tessera.llm.common import fold, piece_model, shared_dir, table
 
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_set("item_id")).alias("item_ids"),
         F.min("errors").alias("least_errors"),
     )
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's 10 best candidates by integer inner product, through the pivot-distance index."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), shared_dir(spark) + "/vectors")
+
+
+ORACLES["op8_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * 1024) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
