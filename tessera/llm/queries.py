@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, pieces, topk, toxicity, warc
-from tessera.llm.common import fold, piece_model, shared_dir, table
+from tessera.llm import chat, decontamination, pieces, pii, topk, toxicity, warc
+from tessera.llm.common import fold, piece_model, shared_dir, stored, table
 
 ORACLES: dict[str, str] = {}
 
@@ -71,3 +71,38 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The maximal conversations, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_chat"] = """
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+c AS (
+  SELECT conv_id, CAST(count(*) AS INTEGER) AS n_turns,
+    list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM t GROUP BY conv_id),
+p AS (
+  SELECT DISTINCT turns[1:k] AS prefix FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c)),
+f AS (
+  SELECT turns, min(conv_id) AS conv_id, any_value(n_turns) AS n_turns, count(*) AS n_copies FROM c GROUP BY turns)
+SELECT conv_id, n_turns, n_copies,
+  array_to_string(list_transform(turns, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || chr(10) || '<|end|>' || chr(10)), '') AS text
+FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.prefix = f.turns)
+"""
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every text: base counts and digest, and all spans."""
+    cands = stored(pii.candidates(table(spark, sf_dir, "documents")), shared_dir(spark) + "/candidates")
+    found = pii.spans(cands, pii.fit(cands))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[: pii.BASE])),
+        F.sha2(pii.written("base"), 256).alias("base_sha256"),
+        pii.written("spans").alias("spans"),
+    )
