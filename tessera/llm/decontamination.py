@@ -129,7 +129,7 @@ def blocks(benchmark: DataFrame, least_chars: int, block_chars: int) -> Iterator
         yield rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """One row for each document row and item found in it: doc_id, item_id, errors, item_chars."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -149,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least
     return spark.createDataFrame([], FOUND_SCHEMA) if found is None else found
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs with a column `leaks`: how many items the text holds. One pass a block and no shuffle."""
     spark = docs.sparkSession
     out = docs.drop("leaks").withColumn("leaks", F.lit(0))
