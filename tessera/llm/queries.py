@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, pieces, pii, topk, toxicity, warc
+from tessera.llm import chat, decontamination, lines, pieces, pii, topk, toxicity, warc
 from tessera.llm.common import fold, piece_model, shared_dir, stored, table
 
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.written("base"), 256).alias("base_sha256"),
         pii.written("spans").alias("spans"),
     )
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without the later copies of repeated line runs of 50 words or more."""
+    return lines.dedup(table(spark, sf_dir, "documents"), shared_dir(spark) + "/lines")
