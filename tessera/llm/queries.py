@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, lines, pieces, pii, topk, toxicity, warc
+from tessera.llm import chat, decontamination, jaccard, lines, pieces, pii, topk, toxicity, warc
 from tessera.llm.common import fold, piece_model, shared_dir, stored, table
 
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without the later copies of repeated line runs of 50 words or more."""
     return lines.dedup(table(spark, sf_dir, "documents"), shared_dir(spark) + "/lines")
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents by four-word shingles at a Jaccard similarity of 0.85 or more."""
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), shared_dir(spark) + "/jaccard", n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
