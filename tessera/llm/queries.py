@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, jaccard, lines, pieces, pii, topk, toxicity, warc
+from tessera.llm import chat, decontamination, jaccard, katz, lines, pieces, pii, topk, toxicity, warc
 from tessera.llm.common import fold, piece_model, shared_dir, stored, table
 
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,15 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents by four-word shingles at a Jaccard similarity of 0.85 or more."""
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"), shared_dir(spark) + "/jaccard", n=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
+
+
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz bigram scores of every text, learned from the texts outside fold 1 of 5."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
+    model = katz.Model(katz.pairs_of(docs.filter(~held_out)), shared_dir(spark) + "/katz")
+    scores = model.score(katz.pairs_of(docs)).withColumnRenamed("row", "r")
+    own = docs.select("doc_id", held_out.alias("held_out"), "row")
+    return own.join(scores, F.col("row") == F.col("r")).select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )
