@@ -115,7 +115,7 @@ def dedup(docs: DataFrame, path: str, min_words: int = 50) -> DataFrame:
     edge = lambda i, field, other: F.coalesce(F.get("gone", i)[field], other)
     between = F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(lines, edge(i - 1, "to", F.lit(0)) + 1, edge(i, "from", F.size(lines)) - edge(i - 1, "to", F.lit(0))))
     rest = F.array_join(F.flatten(between), "\n")
-    out = own.join(gone, F.col("row") == F.col("gone_row"), "left").withColumn("rest", F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(rest))
+    out = own.join(gone.hint("merge"), F.col("row") == F.col("gone_row"), "left").withColumn("rest", F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(rest))
     fresh = {"text": F.col("rest")}
     if "n_chars" in kept_columns:
         fresh["n_chars"] = F.when(F.col("gone").isNull(), F.col("d.n_chars")).otherwise(F.length("rest").cast(docs.schema["n_chars"].dataType))
