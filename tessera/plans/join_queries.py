@@ -1 +1,185 @@
-"""To come."""
+"""Join, diff and similarity queries of the catalogue."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.plans.registry import query
+from tessera.sources import views as v
+
+ENDPOINTS = (("/The", "exact"), ("/th%", "pattern"), ("/a%", "pattern"))
+ENDPOINT_SQL = "endpoints AS (SELECT * FROM (VALUES ('/The', 'exact', 0.95), ('/th%', 'pattern', 0.8), ('/a%', 'pattern', 0.8)) e(route, kind, confidence))"
+
+
+def _endpoints(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(r, k, 0.95 if k == "exact" else 0.8) for r, k in ENDPOINTS], "route string, kind string, confidence double")
+
+
+@query(f"""WITH {v.HREFS}, {ENDPOINT_SQL}, m AS (SELECT h.page_id, h.href, e.route, e.kind, e.confidence FROM hrefs h JOIN endpoints e ON h.href = e.route OR (e.kind = 'pattern' AND h.href LIKE e.route))
+SELECT route, kind, confidence, count(*) AS links, count(DISTINCT page_id) AS pages FROM m GROUP BY ALL""")
+def http_link_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Clients and the endpoints that their routes match, exactly or by pattern; the few endpoints are a constant table."""
+    match = (F.col("href") == F.col("route")) | ((F.col("kind") == "pattern") & F.expr("href LIKE route"))
+    m = v.hrefs(spark, sf).join(F.broadcast(_endpoints(spark)), match)
+    return m.groupBy("route", "kind", "confidence").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("page_id").alias("pages"))
+
+
+@query(f"WITH {v.HREFS}, {ENDPOINT_SQL} SELECT href, count(*) AS links FROM hrefs h WHERE NOT EXISTS (SELECT 1 FROM endpoints e WHERE h.href LIKE e.route) GROUP BY href")
+def unmatched_clients(spark: SparkSession, sf: str) -> DataFrame:
+    """Clients without an endpoint: an anti join."""
+    return v.hrefs(spark, sf).join(F.broadcast(_endpoints(spark)), F.expr("href LIKE route"), "left_anti").groupBy("href").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS producer, l_partkey AS topic FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50),
+c AS (SELECT o_custkey AS consumer, list(DISTINCT l_partkey) AS topics FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50 GROUP BY o_custkey)
+SELECT p.producer, c.consumer, count(*) AS topics FROM p JOIN (SELECT consumer, unnest(topics) AS topic FROM c) c ON c.topic = p.topic WHERE p.producer <> c.consumer GROUP BY ALL""")
+def topic_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    """Tainted producers and the consumers of their topics: equi-join on exploded arrays."""
+    line = v.table(spark, sf, "lineitem").filter("l_quantity = 50")
+    p = line.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("producer"), F.col("l_partkey").alias("topic")).distinct()
+    c = line.join(v.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("consumer")).agg(F.collect_set("l_partkey").alias("topics"))
+    return p.join(c.select("consumer", F.explode("topics").alias("topic")), "topic").filter("producer <> consumer").groupBy("producer", "consumer").agg(F.count(F.lit(1)).alias("topics"))
+
+
+@query("""SELECT e.event_id AS error_id, count(*) AS near, min_by(n.event_id, struct_pack(t := n.ts, i := n.event_id)) AS first_near
+FROM events e JOIN events n ON n.user_id = e.user_id AND n.event_id <> e.event_id AND n.ts BETWEEN e.ts - INTERVAL 2 HOUR AND e.ts + INTERVAL 2 HOUR
+WHERE e.event_type = 'error' GROUP BY e.event_id""")
+def near_line_band_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Events within two hours of an error of the same user, and the first: a band join on time buckets."""
+    width = 2 * 3600
+    e = v.table(spark, sf, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    errors = e.filter("event_type = 'error'").select(F.col("user_id").alias("u"), F.col("event_id").alias("error_id"), F.col("s").alias("at"), F.explode(F.sequence(F.floor(F.col("s") / width) - 1, F.floor(F.col("s") / width) + 1)).alias("b"))
+    near = errors.join(e.withColumn("bucket", F.floor(F.col("s") / width)), (F.col("u") == F.col("user_id")) & (F.col("b") == F.col("bucket")) & (F.col("error_id") != F.col("event_id")) & (F.abs(F.col("s") - F.col("at")) <= width))
+    return near.groupBy("error_id").agg(F.count(F.lit(1)).alias("near"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_near"))
+
+
+@query("""SELECT o_orderpriority AS priority, count(*) AS orders, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_shipdate <= o_orderdate + INTERVAL 20 DAY)) AS covered FROM orders GROUP BY ALL""")
+def audit_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with an entry within twenty days: a semi join with a time bound."""
+    o, line = v.table(spark, sf, "orders"), v.table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate")
+    hit = o.join(line, (F.col("o_orderkey") == F.col("l_orderkey")) & (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("INTERVAL 20 DAYS")), "left_semi")
+    covered = hit.groupBy(F.col("o_orderpriority").alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    total = o.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count(F.lit(1)).alias("orders"))
+    return total.join(covered, F.col("priority") == F.col("p"), "left").select("priority", "orders", F.coalesce("c", F.lit(0)).alias("covered"))
+
+
+DEPS = "deps AS (SELECT DISTINCT l_suppkey AS repo, p_brand AS name, p_size AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45)"
+
+
+def _deps(spark: SparkSession, sf: str) -> DataFrame:
+    j = v.table(spark, sf, "lineitem").filter("l_quantity >= 45").join(v.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return j.select(F.col("l_suppkey").alias("repo"), F.col("p_brand").alias("name"), F.col("p_size").alias("version")).distinct()
+
+
+@query(f"WITH {DEPS} SELECT name, count(DISTINCT repo) AS repos, count(DISTINCT version) AS versions FROM deps GROUP BY name HAVING count(DISTINCT repo) > 1")
+def shared_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies of more than one repository."""
+    return _deps(spark, sf).groupBy("name").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("version").alias("versions")).filter("repos > 1")
+
+
+@query(f"WITH {DEPS} SELECT repo, name, count(*) AS versions, min(version) AS oldest, max(version) AS newest FROM deps GROUP BY ALL HAVING count(*) > 1")
+def version_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies with several versions in one repository."""
+    return _deps(spark, sf).groupBy("repo", "name").agg(F.count(F.lit(1)).alias("versions"), F.min("version").alias("oldest"), F.max("version").alias("newest")).filter("versions > 1")
+
+
+@query("""WITH a AS (SELECT p_brand AS brand, list(DISTINCT p_type) AS served FROM part WHERE p_size <= 25 GROUP BY p_brand), b AS (SELECT p_brand AS brand, list(DISTINCT p_type) AS used FROM part WHERE p_size > 25 GROUP BY p_brand)
+SELECT brand, CAST(len(list_filter(used, lambda x: NOT list_contains(served, x))) AS INTEGER) AS missing, CASE WHEN len(list_filter(used, lambda x: NOT list_contains(served, x))) > 0 THEN 'HIGH' ELSE 'NONE' END AS severity FROM a JOIN b USING (brand)""")
+def contract_breach(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields that clients use and servers lack."""
+    p = v.table(spark, sf, "part")
+    a = p.filter("p_size <= 25").groupBy(F.col("p_brand").alias("brand")).agg(F.collect_set("p_type").alias("served"))
+    b = p.filter("p_size > 25").groupBy(F.col("p_brand").alias("brand")).agg(F.collect_set("p_type").alias("used"))
+    missing = F.size(F.array_except("used", "served"))
+    return a.join(b, "brand").select("brand", missing.alias("missing"), F.when(missing > 0, "HIGH").otherwise("NONE").alias("severity"))
+
+
+@query("SELECT c_custkey AS test_id, s_suppkey AS impl_id, 0.85::DOUBLE AS confidence FROM customer JOIN supplier ON split_part(c_name, '#', 2) = split_part(s_name, '#', 2)")
+def test_impl_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Tests and implementations by a derived key."""
+    key = lambda c: F.split_part(c, F.lit("#"), F.lit(2))
+    c, s = v.table(spark, sf, "customer").withColumn("ck", key("c_name")), v.table(spark, sf, "supplier").withColumn("sk", key("s_name"))
+    return c.join(s, F.col("ck") == F.col("sk")).select(F.col("c_custkey").alias("test_id"), F.col("s_suppkey").alias("impl_id"), F.lit(0.85).alias("confidence"))
+
+
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), s AS (SELECT doc_id, count(*) AS n FROM w GROUP BY doc_id),
+i AS (SELECT a.doc_id AS centre, b.doc_id AS other, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.doc_id <> b.doc_id WHERE a.doc_id IN (1, 2, 3) GROUP BY ALL),
+r AS (SELECT centre, other, round(shared / (x.n + y.n - shared), 6) AS similarity FROM i JOIN s x ON x.doc_id = centre JOIN s y ON y.doc_id = other)
+SELECT centre, other, similarity FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY similarity DESC, other) AS k FROM r) WHERE k <= 10""")
+def semantic_neighbors_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten documents with the most alike word sets for three centres."""
+    w = v.table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    size = w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    a = w.filter(F.col("doc_id").isin(1, 2, 3)).select(F.col("doc_id").alias("centre"), "word")
+    i = a.join(w.withColumnRenamed("doc_id", "other"), "word").filter("centre <> other").groupBy("centre", "other").agg(F.count(F.lit(1)).alias("shared"))
+    x, y = size.select(F.col("doc_id").alias("xd"), F.col("n").alias("xn")), size.select(F.col("doc_id").alias("yd"), F.col("n").alias("yn"))
+    r = i.join(x, F.col("centre") == F.col("xd")).join(y, F.col("other") == F.col("yd")).withColumn("similarity", F.round(F.col("shared") / (F.col("xn") + F.col("yn") - F.col("shared")), 6))
+    k = F.row_number().over(Window.partitionBy("centre").orderBy(F.desc("similarity"), "other"))
+    return r.withColumn("k", k).filter("k <= 10").select("centre", "other", "similarity")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id IN (0, 7, 42)),
+s AS (SELECT query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5) AS similarity FROM q JOIN embeddings e ON e.vec_id <> query_id)
+SELECT query_id, vec_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS k FROM s) WHERE k <= 5""")
+def embedding_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosine neighbours of three vectors (J11); the three are the stated query set."""
+    e = v.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    q = e.filter(F.col("vec_id").isin(0, 7, 42)).select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, r: p * r), F.lit(0.0), lambda s, p: s + p)
+    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).withColumn("similarity", F.round(dot("q", "x") / F.sqrt(dot("q", "q") * dot("x", "x")), 5))
+    k = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
+    return s.withColumn("k", k).filter("k <= 5").select("query_id", "vec_id", "similarity")
+
+
+POPULAR = ("furniture", "automobile", "machinery", "building", "household")
+
+
+@query(f"""WITH p AS (SELECT unnest({list(POPULAR)}) AS popular), n AS (SELECT DISTINCT lower(c_mktsegment) AS name FROM customer UNION SELECT DISTINCT lower(substr(c_mktsegment, 2)) FROM customer)
+SELECT name, popular, CAST(levenshtein(name, popular) AS INTEGER) AS distance FROM n JOIN p ON levenshtein(name, popular) BETWEEN 1 AND 2""")
+def typosquat(spark: SparkSession, sf: str) -> DataFrame:
+    """Names within two edits of a popular one (J12); the popular names are a fixed list."""
+    c = v.table(spark, sf, "customer")
+    n = c.select(F.lower("c_mktsegment").alias("name")).union(c.select(F.lower(F.expr("substr(c_mktsegment, 2)")))).distinct()
+    p = spark.createDataFrame([(x,) for x in POPULAR], "popular string")
+    return n.join(F.broadcast(p), F.levenshtein("name", "popular").between(1, 2)).select("name", "popular", F.levenshtein("name", "popular").alias("distance"))
+
+
+@query(f"""WITH {DEPS}, a AS (SELECT * FROM (VALUES ('Brand#11', 10, 'CRITICAL'), ('Brand#22', 20, 'HIGH'), ('Brand#33', 30, 'LOW')) a(name, below, severity))
+SELECT repo, count(*) AS findings, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM deps JOIN a USING (name) WHERE version < below GROUP BY repo""")
+def dependency_severity(spark: SparkSession, sf: str) -> DataFrame:
+    """Advisories that apply to each repository."""
+    a = spark.createDataFrame([("Brand#11", 10, "CRITICAL"), ("Brand#22", 20, "HIGH"), ("Brand#33", 30, "LOW")], "name string, below int, severity string")
+    j = _deps(spark, sf).join(F.broadcast(a), "name").filter("version < below")
+    return j.groupBy("repo").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
+
+
+@query("""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END AS text FROM documents)
+SELECT d.doc_id FROM documents d JOIN n USING (doc_id) WHERE sha256(d.text) <> sha256(n.text)""")
+def stale_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose digest changed between two versions."""
+    d = v.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("old"), F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("new"))
+    return d.filter("old <> new").select("doc_id")
+
+
+VERSIONS = "a AS (SELECT p_brand AS message, p_type AS field, min(p_size) AS number FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL), b AS (SELECT p_brand AS message, p_type AS field, min(p_size) AS number FROM part WHERE p_partkey % 3 <> 1 GROUP BY ALL)"
+CHANGE = "CASE WHEN b.field IS NULL THEN 'removed' WHEN a.field IS NULL THEN 'added' WHEN a.number <> b.number THEN 'renumbered' ELSE 'same' END"
+
+
+@query(f"WITH {VERSIONS}, d AS (SELECT {CHANGE} AS change FROM a FULL JOIN b ON a.message = b.message AND a.field = b.field) SELECT change, count(*) AS n, change IN ('removed', 'renumbered') AS breaking FROM d GROUP BY ALL")
+def schema_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields removed, added and renumbered between two versions: a full outer join."""
+    p = v.table(spark, sf, "part")
+    version = lambda rest: p.filter(F.col("p_partkey") % 3 != rest).groupBy(F.col("p_brand").alias("message"), F.col("p_type").alias("field")).agg(F.min("p_size").alias("number"))
+    a, b = version(0).alias("a"), version(1).alias("b")
+    d = a.join(b, (F.col("a.message") == F.col("b.message")) & (F.col("a.field") == F.col("b.field")), "full").select(F.expr(CHANGE).alias("change"))
+    return d.groupBy("change").agg(F.count(F.lit(1)).alias("n")).withColumn("breaking", F.col("change").isin("removed", "renumbered"))
+
+
+@query("SELECT p_brand AS rule, p_type AS place FROM part WHERE p_partkey % 2 = 0 EXCEPT SELECT p_brand, p_type FROM part WHERE p_partkey % 2 = 1")
+def introduced_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings of the new version that the old one lacked."""
+    p = v.table(spark, sf, "part")
+    side = lambda k: p.filter(F.col("p_partkey") % 2 == k).select(F.col("p_brand").alias("rule"), F.col("p_type").alias("place"))
+    return side(0).subtract(side(1))
