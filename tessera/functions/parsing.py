@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import ast
-import hashlib
-import hmac
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def _calls(path: str, text: str) -> Iterator[tuple[str, str, str, int]]:
@@ -60,14 +57,3 @@ def python_calls(files: DataFrame) -> DataFrame:
 def def_use_edges(files: DataFrame) -> DataFrame:
     """path, name, def_line, use_line of straight-line data dependencies."""
     return _relation(files, _def_use, "path string, name string, def_line int, use_line int", ["path", "name", "def_line", "use_line"])
-
-
-def verified(entries: DataFrame, key: bytes) -> DataFrame:
-    """entries with `valid`: whether `signature` is the HMAC-SHA256 of `payload`."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            good = [hmac.compare_digest(hmac.new(key, (p or "").encode(), hashlib.sha256).hexdigest(), s or "") for p, s in zip(f["payload"], f["signature"], strict=True)]
-            yield f.assign(valid=good)
-
-    return entries.mapInPandas(run, entries.withColumn("valid", F.lit(True)).schema)

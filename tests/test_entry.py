@@ -42,3 +42,13 @@ def test_sql_twin(spark, duck, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert sorted(plain(r) for r in got.select(*columns).collect()) == sorted(plain(r) for r in want.select(*columns).fetchall())
+
+
+def test_source_queries(spark):
+    q = entry.queries()
+    assert {(r.caller, r.callee) for r in q["python_ast_calls"](spark, SF).collect()} >= {("get_user", "execute_query"), ("execute_query", "cursor.execute")}
+    assert {(r.id, r.depth) for r in q["cross_file_taint"](spark, SF).collect()} == {("cursor.execute", 0), ("execute_query", 1), ("get_user", 2)}
+    assert {(r.name, r.def_line, r.use_line) for r in q["pdg_edges_udtf"](spark, SF).collect()} == {("user_id", 2, 3), ("sql", 2, 3), ("sql", 2, 4)}
+    counts = {r.valid: r.n for r in q["hmac_verify"](spark, SF).collect()}
+    total = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert sum(counts.values()) == total and counts[False] == spark.read.parquet(f"{SF}/events.parquet").filter("event_id % 7 = 0").count()

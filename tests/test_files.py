@@ -6,7 +6,7 @@ import hashlib
 import hmac
 import json
 
-from tessera.functions import parsing
+from tessera.functions import parsing, signing
 from tessera.sources import files, sinks
 
 
@@ -55,4 +55,7 @@ def test_reports_and_logs(spark, tmp_path):
 def test_signatures(spark):
     good = hmac.new(b"k", b"p", hashlib.sha256).hexdigest()
     df = spark.createDataFrame([("p", good), ("p", "no"), (None, None)], "payload string, signature string")
-    assert [r.valid for r in parsing.verified(df, b"k").collect()] == [True, False, False]
+    assert [r.valid for r in signing.verified(df, b"k").collect()] == [True, False, False]
+    long = b"k" * 100
+    df = spark.createDataFrame([("é", hmac.new(long, "é".encode(), hashlib.sha256).hexdigest())], "payload string, signature string")
+    assert signing.verified(df, long).first().valid
