@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stored
+from tessera.llm.common import discard, stored
 
 BUCKET_BITS, CHUNK_BITS = 18, 12
+ID_BITS, BIT_CHUNK = 22, 16
 NO_ID = -(2**63)
 HOT = 16  # classes of a posting list from which on it is joined with its central class first
 
@@ -112,16 +113,31 @@ def document_sets(docs: DataFrame, n: int, percent: int, counts: np.ndarray) ->
     return docs.mapInArrow(run, "doc_id long, print long, cls long, n long, prefix array<long>")
 
 
+def id_bits(wanted: DataFrame) -> np.ndarray:
+    """A bit array of fixed size with a bit for the hash of each wanted id: what it lets through is a superset."""
+    width = 1 << BIT_CHUNK
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).cast("int")
+    rows = wanted.select((bit / width).cast("int").alias("chunk"), (bit % width).alias("bit")).groupBy("chunk").agg(F.collect_set("bit").alias("bits")).collect()
+    out = np.zeros(1 << ID_BITS, bool)
+    for r in rows:
+        out[np.array(r.bits, np.int64) + r.chunk * width] = True
+    return np.packbits(out)
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cls and grams (sorted 64-bit hashes) of the wanted classes; wanted: doc_id and cls of a row of each."""
+    """cls and grams (sorted 64-bit hashes) of the wanted classes; wanted: doc_id and cls of a row of each.
+
+    A bit array keeps the other texts from being moved or cut into n-grams; the join then makes the choice exact."""
+    bits = id_bits(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, mine = WordHashes(), np.unpackbits(bits).view(bool)
         for batch in batches:
+            batch = batch.filter(pa.array(mine[batch.column("bit").to_numpy()], pa.bool_()))
             sets = [shingles(t.as_py(), n, known) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "cls", "grams"])
 
-    own = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(run, "doc_id long, cls long, grams binary")
+    own = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << ID_BITS)).cast("long").alias("bit")).mapInArrow(run, "doc_id long, cls long, grams binary")
     return own.join(wanted, ["doc_id", "cls"], "left_semi").select("cls", "grams")
 
 
@@ -177,7 +193,18 @@ def near_duplicates(docs: DataFrame, path: str, n: int = 5, percent: int = 80) -
     spread = own.select("cls", "n", F.size("prefix").alias("p"), "doc_id", F.explode("prefix").alias("token"))
     shared = spread.withColumns({"low": F.min("cls").over(token), "high": F.max("cls").over(token), "df": F.count(F.lit(1)).over(token)}).filter("low <> high").drop("low", "high")
     postings = stored(shared, f"{path}/postings")
-    whole = stored(whole_sets(texts, postings.select("doc_id", "cls").distinct(), n), f"{path}/whole")
+    at = postings.select("doc_id", "cls").distinct()
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that reach the threshold, by the whole sets of their classes only."""
+        pairs = stored(pairs, f"{path}/{name}-pairs")
+        ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+        wanted = stored(at.join(ends, F.col("cls") == F.col("end"), "left_semi"), f"{path}/{name}-wanted")
+        found = stored(verify(pairs, stored(whole_sets(texts, wanted, n), f"{path}/{name}-sets"), percent), f"{path}/{name}")
+        for part in ("pairs", "wanted", "sets"):
+            discard(docs.sparkSession, f"{path}/{name}-{part}")
+        return found
+
     fits = lambda x, y: (100 * x >= percent * y) & (100 * y >= percent * x)
 
     weight = postings.groupBy("cls").agg(F.sum("df").alias("weight")).withColumnRenamed("cls", "c")
@@ -185,7 +212,7 @@ def near_duplicates(docs: DataFrame, path: str, n: int = 5, percent: int = 80) -
     centre = F.max(F.struct("weight", "cls", "n")).over(token)
     spokes = hot.withColumn("centre", centre).filter((F.col("cls") != F.col("centre.cls")) & fits(F.col("n"), F.col("centre.n")))
     first_pairs = spokes.select(F.least("cls", "centre.cls").alias("a"), F.greatest("cls", "centre.cls").alias("b")).distinct()
-    near = stored(verify(first_pairs, whole, percent), f"{path}/near")
+    near = checked(first_pairs, "near")
     label = components(near, f"{path}/hot")
 
     labelled = postings.join(label, F.col("cls") == F.col("node"), "left").select("token", "cls", "n", "p", F.coalesce("label", "cls").alias("label"))
@@ -196,7 +223,7 @@ def near_duplicates(docs: DataFrame, path: str, n: int = 5, percent: int = 80) -
     overlap = meet.groupBy("a_cls", "b_cls").agg(F.count(F.lit(1)).alias("o"), *(F.first(c).alias(c) for c in ("a_n", "a_p", "b_n", "b_p")))
     most = F.col("o") + F.greatest(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p"))
     able = overlap.filter((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"))
-    links = near.unionByName(verify(able, whole, percent))
+    links = near.unionByName(checked(able, "rest"))
     joined = components(links, f"{path}/all")
 
     named = classes.join(joined, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("label", "cls").alias("label"))
@@ -208,7 +235,8 @@ def near_duplicates(docs: DataFrame, path: str, n: int = 5, percent: int = 80) -
 
 def keep_one(docs: DataFrame, path: str, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs but one of each group: that with the smallest id. Rows with empty sets all stay."""
-    found = stored(near_duplicates(docs, path, n, percent).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), f"{path}/groups")
+    found = stored(near_duplicates(docs, f"{path}/work", n, percent).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), f"{path}/groups")
+    discard(docs.sparkSession, f"{path}/work")
     first = found.filter(F.col("group").isNotNull()).groupBy("group").agg(F.min(F.struct("doc_id", "print")).alias("f")).select("f.doc_id", "f.print")
     free = found.filter(F.col("group").isNull()).select("doc_id", "print").distinct()
     kept = _rows(docs).drop("text").join(first.unionByName(free).withColumn("single", F.lit(True)), ["doc_id", "print"])

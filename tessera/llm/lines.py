@@ -111,6 +111,8 @@ def dedup(docs: DataFrame, path: str, min_words: int = 50) -> DataFrame:
     own = docs.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), nth.alias("nth")).alias("row"), F.struct(*(docs[c] for c in kept_columns)).alias("d"))
     suffixes, levels = suffix_ranks(line_table(own.select("row", F.col("d.text").alias("text"))), min_words, path)
     gone = stored(later_copies(suffixes, levels, min_words).withColumnRenamed("row", "gone_row"), f"{path}/gone")
+    for name in ("suffixes", *(f"level{k}" for k in range(levels))):
+        discard(docs.sparkSession, f"{path}/{name}")
     lines, n = F.split("d.text", "\n", -1), F.size("gone")
     edge = lambda i, field, other: F.coalesce(F.get("gone", i)[field], other)
     between = F.transform(F.sequence(F.lit(0), n), lambda i: F.slice(lines, edge(i - 1, "to", F.lit(0)) + 1, edge(i, "from", F.size(lines)) - edge(i - 1, "to", F.lit(0))))
