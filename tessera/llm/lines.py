@@ -6,8 +6,10 @@ folder. A rank is 1 + the number of smaller suffixes, found by counts of pairs i
 bucket or one list of buckets. Doubling ends when the runs in question are covered.
 
 A run counts when it has at least `min_words` words. Suffixes whose shortest prefix of that many words is the same form one
-interval of the longest-common-prefix array at that depth; two overlapping ranks of a power of two name that prefix. Every
-member of an interval but the first in (document, position) order is a later copy; overlapping later copies add up to the
+interval of the longest-common-prefix array at that depth; two overlapping ranks of a power of two name that prefix. The
+shortest stretches of that many words that end at a line are named and compared the same way, as the last lines of a run
+may be too few words for a prefix. Every member but the first in (document, position) order is a later copy. Each line of a
+repeated run lies in a prefix within the run or in the stretch that ends with it, so overlapping later copies add up to the
 maximal repeated runs, and their lines are deleted.
 
 Defined cases: null texts stay null and empty ones empty; blank lines are not compared and go only with a run they lie in; rows are told apart by (doc_id, number within the id), so that of repeated rows the first stays
@@ -85,18 +87,22 @@ def later_copies(suffixes: DataFrame, levels: int, min_words: int) -> DataFrame:
     df = df.withColumns({"total": F.sum(capped).over(stretch), "end": F.max("at").over(stretch) + 1})
     stop = F.min("at").over(stretch.orderBy("b").rangeBetween(min_words, 2 * min_words))
     df = df.withColumn("m", F.coalesce(stop, F.when(F.col("total") - F.col("b") >= min_words, F.col("end"))) - F.col("at"))
-    df = df.withColumn("level", F.length(F.bin("m")) - 1).withColumn("span", F.pow(F.lit(2.0), "level").cast("int"))
+    df = df.withColumn("e", F.col("b") + capped)
+    before = stretch.orderBy("e").rangeBetween(-2 * min_words, -min_words)  # what a stretch that ends here leaves out
+    df = df.withColumns({"skip": F.coalesce(F.max("at").over(before), F.min("at").over(stretch) - 1), "skipped": F.coalesce(F.max("e").over(before), F.lit(0))})
+    df = df.withColumn("back", F.when(F.col("b") - F.col("skipped") >= min_words, F.col("at") - F.col("skip")))  # others are prefixes
     ranks = F.array(*(f"lv{k}" for k in range(levels)))
-    runs = df.groupBy("row", "stretch").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "m", "level", "span", ranks.alias("ranks")))).alias("s"))
+    runs = df.groupBy("row", "stretch").agg(F.array_sort(F.collect_list(F.struct("at", "pos", "m", "back", ranks.alias("ranks")))).alias("s"))
     line = lambda x, n: F.get("s", (x["at"] + n - F.get("s", F.lit(0))["at"]).cast("int"))
-    named = F.transform(
-        F.filter("s", lambda x: x["m"].isNotNull()),
-        lambda x: F.struct(
-            x["pos"].alias("pos"), (line(x, x["m"] - 1)["pos"] + 1).alias("to"), x["m"].alias("m"),
-            F.get(x["ranks"], x["level"]).alias("head"), F.get(line(x, x["m"] - x["span"])["ranks"], x["level"]).alias("tail"),
-        ),
-    )
-    windows = runs.select("row", F.explode(named).alias("w")).select("row", "w.*")
+
+    def window(first, last, m):
+        level = F.length(F.bin(m)) - 1
+        inner = line(last, 1 - F.pow(F.lit(2.0), level).cast("int"))
+        return F.struct(first["pos"].alias("pos"), (last["pos"] + 1).alias("to"), m.alias("m"), F.get(first["ranks"], level).alias("head"), F.get(inner["ranks"], level).alias("tail"))
+
+    prefixes = F.transform(F.filter("s", lambda x: x["m"].isNotNull()), lambda x: window(x, line(x, x["m"] - 1), x["m"]))
+    endings = F.transform(F.filter("s", lambda x: x["back"].isNotNull()), lambda x: window(line(x, 1 - x["back"]), x, x["back"]))
+    windows = runs.select("row", F.explode(F.concat(prefixes, endings)).alias("w")).select("row", "w.*")
     firsts = windows.groupBy("m", "head", "tail").agg(F.min(F.struct("row", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("m").alias("fm"), F.col("head").alias("fh"), F.col("tail").alias("ft"), "first")
     later = windows.join(firsts, (F.col("m") == F.col("fm")) & (F.col("head") == F.col("fh")) & (F.col("tail") == F.col("ft"))).filter(F.struct("row", "pos") != F.col("first"))
     before = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)

@@ -53,3 +53,49 @@ def test_repeated_rows_and_empty_table(spark, tmp_path):
     df = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")
     assert sorted(len(r.text) for r in lines.dedup(df, str(tmp_path / "a"), 20).collect()) == [0, 0, len(text)]
     assert lines.dedup(df.limit(0), str(tmp_path / "b")).count() == 0
+
+
+def whole_runs(rows, min_words):
+    """Texts (ids rising) without the lines of all runs of min_words words or more, however long, with an earlier copy."""
+    seen, out = set(), {}
+    for i, text in rows:
+        own = [(k, x) for k, x in enumerate(text.split("\n")) if x.strip(" ")]
+        gone = set()
+        for a in range(len(own)):
+            words = 0
+            for b in range(a, len(own)):
+                words += own[b][1].strip(" ").count(" ") + 1
+                if words >= min_words:
+                    key = tuple(x for _, x in own[a : b + 1])
+                    if key in seen:
+                        gone |= set(range(own[a][0], own[b][0] + 1))
+                    seen.add(key)
+        out[i] = "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone)
+    return out
+
+
+def test_runs_go_to_their_last_line(spark, tmp_path):
+    run = "\n".join(" ".join(f"w{k}" for k in range(n, n + size)) for n, size in ((0, 40), (100, 40), (200, 5)))
+    df = spark.createDataFrame([(1, run), (2, "own\n" + run + "\nrest"), (3, run)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.dedup(df, str(tmp_path / "run")).collect()}
+    assert got == {1: run, 2: "own\nrest", 3: ""}
+
+
+def test_against_whole_runs(spark, tmp_path):
+    cut = False
+    for seed in range(3):
+        r = random.Random(seed)
+        pool = ["x", "a b", "c d e", "f g", "", "one two three four five six seven", "p q r s t"]
+        rows = [(i, "\n".join(r.choice(pool) if r.random() < 0.9 else f"own {i} {r.random()}" for _ in range(r.randint(0, 25)))) for i in range(40)]
+        rows += [(100 + i, rows[i][1]) for i in range(5)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want = whole_runs(rows, 9)
+        assert {x.doc_id: x.text for x in lines.dedup(df, str(tmp_path / str(seed)), min_words=9).collect()} == want
+        cut |= list(want.values()) != list(brute(rows, 9).values())
+    assert cut
+
+
+def test_given_documents_against_whole_runs(spark, tmp_path):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert {r.doc_id: r.text for r in lines.dedup(df, str(tmp_path / "docs")).collect()} == whole_runs(rows, 50)
