@@ -2,8 +2,10 @@
 
 Texts are normalised: lower case, every run of characters other than letters and digits as one blank. An item of n
 characters may be found with `errors = floor(rate * n)` edits. It is cut into errors + 1 pieces, of which one must stand
-unchanged in any such place; an Aho-Corasick automaton finds all pieces in one pass over a whole text, and the surroundings
-of each hit are verified by Myers' bit-parallel edit distance.
+unchanged in any such place; an Aho-Corasick automaton finds all pieces in one pass over a whole text. The pieces are the
+leaves of a tree whose nodes have budgets: a node's pieces less one. Where a node is within its budget, one of its two halves
+is within its own, so in any place of an item the path from some piece to the root is within budget throughout. Around each
+hit the nodes above the piece are verified from the small ones up by Myers' bit-parallel edit distance; most hits end there.
 
 The benchmark is processed in blocks of at most `block_chars` characters, each with its own pass, so that what a task holds
 has a fixed bound however many items there are.
@@ -73,31 +75,70 @@ class Pattern:
         return best
 
 
+def paths(pieces: int) -> list[list[tuple[int, int]]]:
+    """For each piece the nodes above it, as ranges of pieces from the smallest to the one below the root."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(pieces)]
+    todo = [(0, pieces)]
+    while todo:
+        a, b = todo.pop()
+        if b - a > 1:
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+            if b - a < pieces:
+                for i in range(a, b):
+                    out[i].insert(0, (a, b))
+    return out
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
+    held = 50_000  # patterns of nodes kept at once
+
     def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
         self.items = [(i, x, int(rate * len(x)), Pattern(x)) for i, x in items]
-        places: dict[str, list[tuple[int, int]]] = {}
+        self.paths = {k: paths(k) for k in {errors + 1 for _, _, errors, _ in self.items}}
+        self.nodes: dict[tuple[int, int, int], Pattern] = {}
+        places: dict[str, list[tuple[int, int, int]]] = {}
         for number, (_, x, errors, _) in enumerate(self.items):
-            for offset, piece in cut(x, errors):
-                places.setdefault(piece, []).append((number, offset))
+            for k, (offset, piece) in enumerate(cut(x, errors)):
+                places.setdefault(piece, []).append((number, k, offset))
         self.pieces = ahocorasick.Automaton()
         for piece, where in places.items():
             self.pieces.add_word(piece, (len(piece), where))
         if places:
             self.pieces.make_automaton()
 
+    def _likely(self, text: str, number: int, k: int, start: int) -> bool:
+        """Whether the nodes above piece k are within their budgets where the item would start at `start`."""
+        _, x, errors, _ = self.items[number]
+        n, pieces = len(x), errors + 1
+        for i, j in self.paths[pieces][k]:
+            a, b, most = n * i // pieces, n * j // pieces, j - i - 1
+            near = text[max(0, start + a - most) : max(0, start + b + most)]
+            if x[a:b] in near:
+                continue
+            pattern = self.nodes.get((number, i, j))
+            if pattern is None:
+                if len(self.nodes) >= self.held:
+                    self.nodes.clear()
+                pattern = self.nodes[number, i, j] = Pattern(x[a:b])
+            if pattern.least(near, most) > most:
+                return False
+        return True
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, least edit distance, item size) of the items within their error budgets."""
         if not self.items:
             return []
         spans: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.pieces.iter(text):
-            for number, offset in where:
+            for number, k, offset in where:
                 _, x, errors, _ = self.items[number]
                 start = end + 1 - size - offset
                 window = (max(0, start - errors), start + len(x) + errors)
+                own = spans.get(number)
+                if own and own[-1][0] <= window[0] and window[1] <= own[-1][1] or not self._likely(text, number, k, start):
+                    continue
                 own = spans.setdefault(number, [])
                 if own and window[0] <= own[-1][1] and window[0] >= own[-1][0]:
                     own[-1] = (own[-1][0], max(own[-1][1], window[1]))
@@ -129,7 +170,7 @@ def blocks(benchmark: DataFrame, least_chars: int, block_chars: int) -> Iterator
         yield rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """One row for each document row and item found in it: doc_id, item_id, errors, item_chars."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -149,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, leas
     return spark.createDataFrame([], FOUND_SCHEMA) if found is None else found
 
 
-def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
+def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_chars: int = 40, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs with a column `leaks`: how many items the text holds. One pass a block and no shuffle."""
     spark = docs.sparkSession
     out = docs.drop("leaks").withColumn("leaks", F.lit(0))

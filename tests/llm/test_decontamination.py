@@ -55,3 +55,27 @@ def test_tables(spark):
     assert flags.columns == docs.columns[:-1] + ["leaks"] and sorted(r.leaks for r in flags.collect()) == [0, 0, 0, 2, 2, 2]
     assert d.contaminated(docs, bench.limit(0)).count() == 0 and d.flagged(docs, bench.limit(0)).count() == 6
     assert d.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_production_budget(spark):
+    """At the default rate: passages with up to a tenth of their characters edited are found, with their least distance."""
+    r = random.Random(5)
+    words = ["".join(r.choice("aeionrst") for _ in range(r.randint(2, 6))) for _ in range(60)]
+    phrase = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(k, phrase(r.randint(20, 60))) for k in range(8)]
+    rows, want, between = [], set(), 0
+    for n in range(80):
+        edited = list(r.choice(items)[1])
+        for _ in range(r.randint(0, int(0.13 * len(edited)))):
+            at = r.randrange(len(edited))
+            edited[at : at + 1] = r.choice(["", r.choice("xyz"), r.choice("xyz") + edited[at]])
+        rows.append((n, phrase(30) + " " + "".join(edited) + " " + phrase(30)))
+        for item, x in items:
+            least = brute(x, d.normalise(rows[-1][1]))
+            if least <= int(0.1 * len(x)):
+                want.add((n, item, least))
+                between += least > int(0.05 * len(x))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(f.doc_id, f.item_id, f.errors) for f in d.contaminated(docs, bench).collect()} == want
+    assert between > 5
+    assert sum(x.leaks for x in d.flagged(docs, bench).collect()) == len(want)
