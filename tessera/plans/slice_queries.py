@@ -92,9 +92,20 @@ def slice_components(spark: SparkSession, sf: str) -> DataFrame:
   CAST(1 + count(DISTINCT o_orderkey) + sum(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END) AS BIGINT) AS complexity
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 50 GROUP BY o_custkey""")
 def slice_info(spark: SparkSession, sf: str) -> DataFrame:
+    """Size, line range and complexity of the slices of the first 50 customers, as its SQL has it; all: slice_info_all."""
+    return _slice_info(v.table(spark, sf, "orders").filter("o_custkey <= 50"), v.table(spark, sf, "lineitem"))
+
+
+@query("""SELECT o_custkey AS seed, count(DISTINCT o_orderkey) + count(DISTINCT l_partkey) + 1 AS size, min(l_linenumber) AS first_line, max(l_linenumber) AS last_line,
+  CAST(1 + count(DISTINCT o_orderkey) + sum(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END) AS BIGINT) AS complexity
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def slice_info_all(spark: SparkSession, sf: str) -> DataFrame:
     """Size, line range and complexity of each customer's slice."""
-    t = lambda n: v.table(spark, sf, n)
-    joined = t("orders").filter("o_custkey <= 50").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return _slice_info(v.table(spark, sf, "orders"), v.table(spark, sf, "lineitem"))
+
+
+def _slice_info(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    joined = orders.join(lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
     returned = F.sum(F.when(F.col("l_returnflag") == "R", 2).otherwise(0))
     return joined.groupBy(F.col("o_custkey").alias("seed")).agg(
         (F.countDistinct("o_orderkey") + F.countDistinct("l_partkey") + 1).alias("size"), F.min("l_linenumber").alias("first_line"), F.max("l_linenumber").alias("last_line"),
@@ -116,9 +127,18 @@ def undefined_unused(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS def, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS uses FROM lineitem WHERE l_orderkey <= 1000 GROUP BY ALL")
 def def_use_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Uses of the first 1,000 definitions in order, as its SQL has it; all: def_use_chains_all."""
+    return _def_use_chains(v.table(spark, sf, "lineitem").filter("l_orderkey <= 1000"))
+
+
+@query("SELECT l_orderkey AS def, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS uses FROM lineitem GROUP BY ALL")
+def def_use_chains_all(spark: SparkSession, sf: str) -> DataFrame:
     """Uses of each definition in order."""
+    return _def_use_chains(v.table(spark, sf, "lineitem"))
+
+
+def _def_use_chains(line: DataFrame) -> DataFrame:
     uses = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
-    line = v.table(spark, sf, "lineitem").filter("l_orderkey <= 1000")
     return line.groupBy(F.col("l_orderkey").alias("def")).agg(F.array_join(F.transform(uses, lambda x: x["l_partkey"].cast("string")), ",").alias("uses"))
 
 

@@ -52,3 +52,17 @@ def test_source_queries(spark):
     counts = {r.valid: r.n for r in q["hmac_verify"](spark, SF).collect()}
     total = spark.read.parquet(f"{SF}/events.parquet").count()
     assert sum(counts.values()) == total and counts[False] == spark.read.parquet(f"{SF}/events.parquet").filter("event_id % 7 = 0").count()
+
+
+def same_as_sql(spark, duck, name):
+    got, want = entry.queries()[name](spark, SF), duck.sql(entry.oracle_sql()[name])
+    columns = sorted(want.columns)
+    rows = sorted(plain(r) for r in got.select(*columns).collect())
+    assert rows == sorted(plain(r) for r in want.select(*columns).fetchall())
+    return len(rows)
+
+
+def test_slices_and_chains_of_whole_tables(spark, duck):
+    count = lambda sql: duck.sql(sql).fetchall()[0][0]
+    assert same_as_sql(spark, duck, "slice_info_all") == count("SELECT count(DISTINCT o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey") > 50
+    assert same_as_sql(spark, duck, "def_use_chains_all") == count("SELECT count(DISTINCT l_orderkey) FROM lineitem") > 1000
