@@ -180,9 +180,22 @@ o AS (SELECT a AS nation, count(*) AS ce FROM e WHERE a <> b GROUP BY a), i AS (
 SELECT n_nationkey AS nation, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) = 0 THEN 0.0 ELSE round(coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)), 3) END AS instability
 FROM nation LEFT JOIN o ON o.nation = n_nationkey LEFT JOIN i ON i.nation = n_nationkey""")
 def coupling_instability(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours and instability of each nation by lines of quantity 49 on, as its SQL has it; all: coupling_instability_all."""
+    return _coupling(spark, sf, v.table(spark, sf, "lineitem").filter("l_quantity >= 49"))
+
+
+@query("""WITH e AS (SELECT DISTINCT s_nationkey AS a, c_nationkey AS b FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+o AS (SELECT a AS nation, count(*) AS ce FROM e WHERE a <> b GROUP BY a), i AS (SELECT b AS nation, count(*) AS ca FROM e WHERE a <> b GROUP BY b)
+SELECT n_nationkey AS nation, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coalesce(ca, 0) + coalesce(ce, 0) = 0 THEN 0.0 ELSE round(coalesce(ce, 0) / (coalesce(ca, 0) + coalesce(ce, 0)), 3) END AS instability
+FROM nation LEFT JOIN o ON o.nation = n_nationkey LEFT JOIN i ON i.nation = n_nationkey""")
+def coupling_instability_all(spark: SparkSession, sf: str) -> DataFrame:
     """Distinct neighbours in and out and the instability of each nation."""
+    return _coupling(spark, sf, v.table(spark, sf, "lineitem"))
+
+
+def _coupling(spark: SparkSession, sf: str, line: DataFrame) -> DataFrame:
     t = lambda n: v.table(spark, sf, n)
-    e = t("lineitem").filter("l_quantity >= 49").join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    e = line.select("l_suppkey", "l_orderkey").distinct().join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     e = e.select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct().filter("a <> b")
     ends = e.select(F.col("a").alias("nation"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(e.select(F.col("b").alias("nation"), F.lit(0).alias("o"), F.lit(1).alias("i")))
     ends = ends.unionByName(t("nation").select(F.col("n_nationkey").alias("nation"), F.lit(0).alias("o"), F.lit(0).alias("i")))

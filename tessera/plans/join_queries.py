@@ -36,10 +36,21 @@ def unmatched_clients(spark: SparkSession, sf: str) -> DataFrame:
 c AS (SELECT o_custkey AS consumer, list(DISTINCT l_partkey) AS topics FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50 GROUP BY o_custkey)
 SELECT p.producer, c.consumer, count(*) AS topics FROM p JOIN (SELECT consumer, unnest(topics) AS topic FROM c) c ON c.topic = p.topic WHERE p.producer <> c.consumer GROUP BY ALL""")
 def topic_bridge(spark: SparkSession, sf: str) -> DataFrame:
+    """Tainted producers and the consumers of their topics by lines of quantity 50, as its SQL has it; all: topic_bridge_all."""
+    return _bridge(v.table(spark, sf, "lineitem").filter("l_quantity = 50"), v.table(spark, sf, "orders"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS producer, l_partkey AS topic FROM lineitem WHERE l_returnflag = 'R'),
+c AS (SELECT DISTINCT o_custkey AS consumer, l_partkey AS topic FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT p.producer, c.consumer, count(*) AS topics FROM p JOIN c ON c.topic = p.topic WHERE p.producer <> c.consumer GROUP BY ALL""")
+def topic_bridge_all(spark: SparkSession, sf: str) -> DataFrame:
     """Tainted producers and the consumers of their topics: equi-join on exploded arrays."""
-    line = v.table(spark, sf, "lineitem").filter("l_quantity = 50")
+    return _bridge(v.table(spark, sf, "lineitem"), v.table(spark, sf, "orders"))
+
+
+def _bridge(line: DataFrame, orders: DataFrame) -> DataFrame:
     p = line.filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("producer"), F.col("l_partkey").alias("topic")).distinct()
-    c = line.join(v.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("consumer")).agg(F.collect_set("l_partkey").alias("topics"))
+    c = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("consumer")).agg(F.collect_set("l_partkey").alias("topics"))
     return p.join(c.select("consumer", F.explode("topics").alias("topic")), "topic").filter("producer <> consumer").groupBy("producer", "consumer").agg(F.count(F.lit(1)).alias("topics"))
 
 
@@ -68,21 +79,46 @@ def audit_coverage(spark: SparkSession, sf: str) -> DataFrame:
 DEPS = "deps AS (SELECT DISTINCT l_suppkey AS repo, p_brand AS name, p_size AS version FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 45)"
 
 
-def _deps(spark: SparkSession, sf: str) -> DataFrame:
-    j = v.table(spark, sf, "lineitem").filter("l_quantity >= 45").join(v.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+DEPS_ALL = "deps AS (SELECT DISTINCT l_suppkey AS repo, p_brand AS name, p_size AS version FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+def _deps(spark: SparkSession, sf: str, every: bool = False) -> DataFrame:
+    """Dependencies by every line, or by those of quantity 45 on, as DEPS has it."""
+    line = v.table(spark, sf, "lineitem") if every else v.table(spark, sf, "lineitem").filter("l_quantity >= 45")
+    j = line.select("l_suppkey", "l_partkey").distinct().join(v.table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     return j.select(F.col("l_suppkey").alias("repo"), F.col("p_brand").alias("name"), F.col("p_size").alias("version")).distinct()
 
 
 @query(f"WITH {DEPS} SELECT name, count(DISTINCT repo) AS repos, count(DISTINCT version) AS versions FROM deps GROUP BY name HAVING count(DISTINCT repo) > 1")
 def shared_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies of more than one repository by lines of quantity 45 on, as its SQL has it; all: shared_dependencies_all."""
+    return _shared(_deps(spark, sf))
+
+
+@query(f"WITH {DEPS_ALL} SELECT name, count(DISTINCT repo) AS repos, count(DISTINCT version) AS versions FROM deps GROUP BY name HAVING count(DISTINCT repo) > 1")
+def shared_dependencies_all(spark: SparkSession, sf: str) -> DataFrame:
     """Dependencies of more than one repository."""
-    return _deps(spark, sf).groupBy("name").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("version").alias("versions")).filter("repos > 1")
+    return _shared(_deps(spark, sf, every=True))
+
+
+def _shared(deps: DataFrame) -> DataFrame:
+    return deps.groupBy("name").agg(F.countDistinct("repo").alias("repos"), F.countDistinct("version").alias("versions")).filter("repos > 1")
 
 
 @query(f"WITH {DEPS} SELECT repo, name, count(*) AS versions, min(version) AS oldest, max(version) AS newest FROM deps GROUP BY ALL HAVING count(*) > 1")
 def version_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Dependencies with several versions in one repository by lines of quantity 45 on, as its SQL has it; all: version_conflicts_all."""
+    return _conflicts(_deps(spark, sf))
+
+
+@query(f"WITH {DEPS_ALL} SELECT repo, name, count(*) AS versions, min(version) AS oldest, max(version) AS newest FROM deps GROUP BY ALL HAVING count(*) > 1")
+def version_conflicts_all(spark: SparkSession, sf: str) -> DataFrame:
     """Dependencies with several versions in one repository."""
-    return _deps(spark, sf).groupBy("repo", "name").agg(F.count(F.lit(1)).alias("versions"), F.min("version").alias("oldest"), F.max("version").alias("newest")).filter("versions > 1")
+    return _conflicts(_deps(spark, sf, every=True))
+
+
+def _conflicts(deps: DataFrame) -> DataFrame:
+    return deps.groupBy("repo", "name").agg(F.count(F.lit(1)).alias("versions"), F.min("version").alias("oldest"), F.max("version").alias("newest")).filter("versions > 1")
 
 
 @query("""WITH a AS (SELECT p_brand AS brand, list(DISTINCT p_type) AS served FROM part WHERE p_size <= 25 GROUP BY p_brand), b AS (SELECT p_brand AS brand, list(DISTINCT p_type) AS used FROM part WHERE p_size > 25 GROUP BY p_brand)
@@ -149,9 +185,20 @@ def typosquat(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {DEPS}, a AS (SELECT * FROM (VALUES ('Brand#11', 10, 'CRITICAL'), ('Brand#22', 20, 'HIGH'), ('Brand#33', 30, 'LOW')) a(name, below, severity))
 SELECT repo, count(*) AS findings, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM deps JOIN a USING (name) WHERE version < below GROUP BY repo""")
 def dependency_severity(spark: SparkSession, sf: str) -> DataFrame:
+    """Advisories that apply to each repository by lines of quantity 45 on, as its SQL has it; all: dependency_severity_all."""
+    return _severity(_deps(spark, sf))
+
+
+@query(f"""WITH {DEPS_ALL}, a AS (SELECT * FROM (VALUES ('Brand#11', 10, 'CRITICAL'), ('Brand#22', 20, 'HIGH'), ('Brand#33', 30, 'LOW')) a(name, below, severity))
+SELECT repo, count(*) AS findings, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical FROM deps JOIN a USING (name) WHERE version < below GROUP BY repo""")
+def dependency_severity_all(spark: SparkSession, sf: str) -> DataFrame:
     """Advisories that apply to each repository."""
-    a = spark.createDataFrame([("Brand#11", 10, "CRITICAL"), ("Brand#22", 20, "HIGH"), ("Brand#33", 30, "LOW")], "name string, below int, severity string")
-    j = _deps(spark, sf).join(F.broadcast(a), "name").filter("version < below")
+    return _severity(_deps(spark, sf, every=True))
+
+
+def _severity(deps: DataFrame) -> DataFrame:
+    a = deps.sparkSession.createDataFrame([("Brand#11", 10, "CRITICAL"), ("Brand#22", 20, "HIGH"), ("Brand#33", 30, "LOW")], "name string, below int, severity string")
+    j = deps.join(F.broadcast(a), "name").filter("version < below")
     return j.groupBy("repo").agg(F.count(F.lit(1)).alias("findings"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
 
 

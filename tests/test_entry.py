@@ -66,3 +66,11 @@ def test_slices_and_chains_of_whole_tables(spark, duck):
     count = lambda sql: duck.sql(sql).fetchall()[0][0]
     assert same_as_sql(spark, duck, "slice_info_all") == count("SELECT count(DISTINCT o_custkey) FROM orders JOIN lineitem ON l_orderkey = o_orderkey") > 50
     assert same_as_sql(spark, duck, "def_use_chains_all") == count("SELECT count(DISTINCT l_orderkey) FROM lineitem") > 1000
+
+
+@pytest.mark.parametrize("name", ["shared_dependencies", "version_conflicts", "dependency_severity", "topic_bridge", "coupling_instability"])
+def test_every_quantity_counts(spark, duck, name):
+    same_as_sql(spark, duck, name + "_all")
+    some, whole = (entry.queries()[n](spark, SF).collect() for n in (name, name + "_all"))
+    measure = {"shared_dependencies": "versions", "version_conflicts": "versions", "dependency_severity": "findings", "topic_bridge": "topics", "coupling_instability": "ce"}[name]
+    assert sum(r[measure] for r in whole) > sum(r[measure] for r in some)
