@@ -146,12 +146,12 @@ def top_k(vectors: DataFrame, path: str, every: int = 100, k: int = 10, scale: i
                     out[name].append(value)
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
-    queries = again.filter(F.col("vec_id") % every == 0)
+    queries = again.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])  # equal rows lie in one part; a floor counts each once
     tile = F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")
     deal = index.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).groupBy("part", "tile")
     near = deal.cogroup(queries.select(F.col("vec_id").alias("asker"), F.col("x").alias("q"), "part", tile.alias("tile")).groupBy("part", "tile")).applyInArrow(search, kind)
     floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sort_array(F.collect_list("score"), asc=False).getItem(k - 1)).otherwise(-(2**62)).alias("floor"))
-    asking = queries.dropDuplicates(["vec_id", "x"]).join(floors, F.col("vec_id") == F.col("query_id"), "left").select(F.col("vec_id").alias("asker"), F.col("x").alias("q"), F.coalesce("floor", F.lit(-(2**62))).alias("floor"), tile.alias("tile"))
+    asking = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").select(F.col("vec_id").alias("asker"), F.col("x").alias("q"), F.coalesce("floor", F.lit(-(2**62))).alias("floor"), tile.alias("tile"))
     asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     found = deal.cogroup(asking.groupBy("part", "tile")).applyInArrow(search, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -35,3 +35,13 @@ def test_small_tables(spark, tmp_path):
     df = spark.createDataFrame([(0, [1.0]), (100, [2.0])], "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.top_k(df, str(tmp_path / "a")).collect())) == [(0, 1, 100, 2097152), (100, 1, 0, 2097152)]
     assert topk.top_k(df.limit(0), str(tmp_path / "b")).count() == 0
+
+
+def test_repeated_query_rows(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(1, 120)]
+    for times in (2, 5):
+        more = rows + [x for x in rows if x[0] % 20 == 0] * (times - 1)
+        df = spark.createDataFrame(more, "vec_id long, embedding array<double>")
+        got = [tuple(x) for x in topk.top_k(df, str(tmp_path / str(times)), every=20, k=10, pivots=5, part_rows=60).collect()]
+        assert len(got) == 50 and set(got) == brute(more, 20, 10)
