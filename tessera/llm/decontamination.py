@@ -10,8 +10,10 @@ hit the nodes above the piece are verified from the small ones up by Myers' bit-
 The benchmark is processed in blocks of at most `block_chars` characters, each with its own pass, so that what a task holds
 has a fixed bound however many items there are.
 
-Defined cases: null texts and items are empty; items of fewer than `least_chars` normalised characters are not looked for;
-repeated items are found each; an empty benchmark or table gives an empty result; other columns are ignored.
+Items of fewer than `least_chars` normalised characters are found as whole words only: within the same budget, but from one
+word boundary of the text to another.
+
+Defined cases: null texts and items are empty, and empty items are not looked for; repeated items are found each; an empty benchmark or table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,6 +77,16 @@ class Pattern:
         return best
 
 
+def distance(a: str, b: str) -> int:
+    """Edit distance of two short strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
 def paths(pieces: int) -> list[list[tuple[int, int]]]:
     """For each piece the nodes above it, as ranges of pieces from the smallest to the one below the root."""
     out: list[list[tuple[int, int]]] = [[] for _ in range(pieces)]
@@ -90,11 +102,12 @@ def paths(pieces: int) -> list[list[tuple[int, int]]]:
 
 
 class Matcher:
-    """Finds the items of one block in texts."""
+    """Finds the items of one block in texts, those of fewer than whole_below characters as whole words."""
 
     held = 50_000  # patterns of nodes kept at once
 
-    def __init__(self, items: list[tuple[int, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float, whole_below: int = 0) -> None:
+        self.whole_below = whole_below
         self.items = [(i, x, int(rate * len(x)), Pattern(x)) for i, x in items]
         self.paths = {k: paths(k) for k in {errors + 1 for _, _, errors, _ in self.items}}
         self.nodes: dict[tuple[int, int, int], Pattern] = {}
@@ -126,15 +139,26 @@ class Matcher:
                 return False
         return True
 
+    def _words(self, text: str, x: str, errors: int, start: int) -> int:
+        """Least edit distance between x and whole words of text that start and end within `errors` of its place."""
+        starts = [a for a in range(max(0, start - errors), start + errors + 1) if text[a : a + 1].strip() and (a == 0 or text[a - 1] == " ")]
+        ends = [b for b in range(start + len(x) - errors, min(len(text), start + len(x) + errors) + 1) if text[b : b + 1] in ("", " ")]
+        return min((0 if text[a:b] == x else distance(text[a:b], x) for a in starts for b in ends if a < b), default=errors + 1)
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, least edit distance, item size) of the items within their error budgets."""
         if not self.items:
             return []
         spans: dict[int, list[tuple[int, int]]] = {}
+        short: dict[int, int] = {}
         for end, (size, where) in self.pieces.iter(text):
             for number, k, offset in where:
                 _, x, errors, _ = self.items[number]
                 start = end + 1 - size - offset
+                if len(x) < self.whole_below:
+                    if short.get(number, errors + 1) and self._likely(text, number, k, start):
+                        short[number] = min(short.get(number, errors + 1), self._words(text, x, errors, start))
+                    continue
                 window = (max(0, start - errors), start + len(x) + errors)
                 own = spans.get(number)
                 if own and own[-1][0] <= window[0] and window[1] <= own[-1][1] or not self._likely(text, number, k, start):
@@ -144,7 +168,7 @@ class Matcher:
                     own[-1] = (own[-1][0], max(own[-1][1], window[1]))
                 else:
                     own.append(window)
-        out = []
+        out = [(self.items[number][0], best, len(self.items[number][1])) for number, best in short.items() if best <= self.items[number][2]]
         for number, own in spans.items():
             item, x, errors, pattern = self.items[number]
             exact = text.find(x) if any(b - a >= len(x) for a, b in own) else -1
@@ -154,12 +178,12 @@ class Matcher:
         return out
 
 
-def blocks(benchmark: DataFrame, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """Normalised items in blocks of at most block_chars characters (or one item)."""
     rows, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
         x = normalise(r.t)
-        if len(x) < least_chars:
+        if not x:
             continue
         if rows and size + len(x) > block_chars:
             yield rows
@@ -176,11 +200,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("errors", pa.int32()), ("item_chars", pa.int32())])
     found = None
-    for items in blocks(benchmark, least_chars, block_chars):
+    for items in blocks(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+            matcher = Matcher(sent.value, rate, least_chars)
             for batch in batches:
                 rows = [(i, *hit) for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for hit in matcher.find(normalise(x.as_py()))]
                 yield pa.RecordBatch.from_pydict({k: [r[n] for r in rows] for n, k in enumerate(schema.names)}, schema=schema)
@@ -195,11 +219,11 @@ def flagged(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, least_char
     spark = docs.sparkSession
     out = docs.drop("leaks").withColumn("leaks", F.lit(0))
     schema = T.StructType([*docs.drop("leaks").schema.fields, T.StructField("leaks", T.IntegerType())])
-    for items in blocks(benchmark, least_chars, block_chars):
+    for items in blocks(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+            matcher = Matcher(sent.value, rate, least_chars)
             for batch in batches:
                 n = [len(matcher.find(normalise(x.as_py()))) + k.as_py() for x, k in zip(batch.column("text"), batch.column("leaks"), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(n, pa.int32())], schema.names)

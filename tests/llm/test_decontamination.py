@@ -79,3 +79,35 @@ def test_production_budget(spark):
     assert {(f.doc_id, f.item_id, f.errors) for f in d.contaminated(docs, bench).collect()} == want
     assert between > 5
     assert sum(x.leaks for x in d.flagged(docs, bench).collect()) == len(want)
+
+
+def whole_words(item, text, errors):
+    """Least edit distance between item and any whole words of text."""
+    words = text.split(" ") if text else []
+    parts = (" ".join(words[a:b]) for a in range(len(words)) for b in range(a + 1, len(words) + 1))
+    return min((d.distance(item, x) for x in parts if abs(len(x) - len(item)) <= errors), default=errors + 1)
+
+
+def test_short_items(spark):
+    assert [d.distance(a, b) for a, b in (("kitten", "sitting"), ("", "ab"), ("ab", "ab"))] == [3, 2, 0]
+    r = random.Random(6)
+    words = ["".join(r.choice("ab") for _ in range(r.randint(1, 5))) for _ in range(12)]
+    items = [(k, d.normalise(" ".join(r.choice(words) for _ in range(r.randint(1, 9))))) for k in range(30)]
+    items = [(k, x) for k, x in items if len(x) < 40]
+    rows, want = [(n, " ".join(r.choice(words) for _ in range(r.randint(0, 25)))) for n in range(25)], set()
+    for n in range(60):
+        edited = list(r.choice(items)[1])
+        for _ in range(r.randint(0, 3)):
+            at = r.randrange(len(edited) + 1)
+            edited[at : at + 1] = r.choice(["", "c", "a ", "bb"])
+        rows.append((100 + n, r.choice(["", "ab ", "x"]) + "".join(edited) + r.choice(["", " ba", "y"])))
+    for n, text in rows:
+        for k, x in items:
+            least = whole_words(x, d.normalise(text), int(0.1 * len(x)))
+            if least <= int(0.1 * len(x)):
+                want.add((n, k, least))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*items, (90, "?!"), (91, None)], "item_id long, text string")
+    assert {(f.doc_id, f.item_id, f.errors) for f in d.contaminated(docs, bench).collect()} == want
+    assert {e for _, _, e in want} >= {0, 1}
+    assert sum(x.leaks for x in d.flagged(docs, bench).collect()) == len(want)
