@@ -92,7 +92,7 @@ def slice_components(spark: SparkSession, sf: str) -> DataFrame:
   CAST(1 + count(DISTINCT o_orderkey) + sum(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END) AS BIGINT) AS complexity
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey <= 50 GROUP BY o_custkey""")
 def slice_info(spark: SparkSession, sf: str) -> DataFrame:
-    """Size, line range and complexity of the slices of the first 50 customers, as its SQL has it; all: slice_info_all."""
+    """Size, line range and complexity of the slices of customers up to key 50, as its SQL has it; all: slice_info_all."""
     return _slice_info(v.table(spark, sf, "orders").filter("o_custkey <= 50"), v.table(spark, sf, "lineitem"))
 
 
@@ -127,7 +127,7 @@ def undefined_unused(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS def, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS uses FROM lineitem WHERE l_orderkey <= 1000 GROUP BY ALL")
 def def_use_chains(spark: SparkSession, sf: str) -> DataFrame:
-    """Uses of the first 1,000 definitions in order, as its SQL has it; all: def_use_chains_all."""
+    """Uses of definitions up to key 1000 in order, as its SQL has it; all: def_use_chains_all."""
     return _def_use_chains(v.table(spark, sf, "lineitem").filter("l_orderkey <= 1000"))
 
 
