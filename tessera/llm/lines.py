@@ -8,9 +8,10 @@ bucket or one list of buckets. Doubling ends when the runs in question are cover
 A run counts when it has at least `min_words` words. Suffixes whose shortest prefix of that many words is the same form one
 interval of the longest-common-prefix array at that depth; two overlapping ranks of a power of two name that prefix. The
 shortest stretches of that many words that end at a line are named and compared the same way, as the last lines of a run
-may be too few words for a prefix. Every member but the first in (document, position) order is a later copy. Each line of a
-repeated run lies in a prefix within the run or in the stretch that ends with it, so overlapping later copies add up to the
-maximal repeated runs, and their lines are deleted.
+may be too few words for a prefix. Members that do not overlap the first one in (document, position) order are later copies.
+Each line of a repeated run lies in a prefix within the run or in the stretch that ends with it, so overlapping later copies
+add up to the maximal repeated runs, and their lines are deleted. What overlaps the first member is no copy: of a hundred
+equal lines, as many as make one whole run stay.
 
 Defined cases: null texts stay null and empty ones empty; blank lines are not compared and go only with a run they lie in; rows are told apart by (doc_id, number within the id), so that of repeated rows the first stays
 whole; a null id sorts first; an empty table stays empty; all columns of docs are kept, n_chars brought up to date if
@@ -103,8 +104,8 @@ def later_copies(suffixes: DataFrame, levels: int, min_words: int) -> DataFrame:
     prefixes = F.transform(F.filter("s", lambda x: x["m"].isNotNull()), lambda x: window(x, line(x, x["m"] - 1), x["m"]))
     endings = F.transform(F.filter("s", lambda x: x["back"].isNotNull()), lambda x: window(line(x, 1 - x["back"]), x, x["back"]))
     windows = runs.select("row", F.explode(F.concat(prefixes, endings)).alias("w")).select("row", "w.*")
-    firsts = windows.groupBy("m", "head", "tail").agg(F.min(F.struct("row", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("m").alias("fm"), F.col("head").alias("fh"), F.col("tail").alias("ft"), "first")
-    later = windows.join(firsts, (F.col("m") == F.col("fm")) & (F.col("head") == F.col("fh")) & (F.col("tail") == F.col("ft"))).filter(F.struct("row", "pos") != F.col("first"))
+    firsts = windows.groupBy("m", "head", "tail").agg(F.min(F.struct("row", "pos", "to")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("m").alias("fm"), F.col("head").alias("fh"), F.col("tail").alias("ft"), "first")
+    later = windows.join(firsts, (F.col("m") == F.col("fm")) & (F.col("head") == F.col("fh")) & (F.col("tail") == F.col("ft"))).filter((F.col("row") != F.col("first.row")) | (F.col("pos") >= F.col("first.to")))
     before = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     fresh = later.withColumn("from", F.greatest("pos", F.coalesce(F.max("to").over(before), F.lit(0)))).filter(F.col("from") < F.col("to"))
     return fresh.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "to"))).alias("gone"))
