@@ -1,23 +1,27 @@
 """Toxicity by a character n-gram linear classifier with naive Bayes log-count ratios.
 
-Features are the character n-grams (4 to 6, with word edges) of a text's distinct lower-cased words, hashed into 2**BITS
-buckets. The ratio of each bucket's smoothed document counts in the two classes scales it; a logistic regression over the
-scaled values of the `most_features` most telling buckets gives the weights. A text's score is additive over its distinct
-words, so that scoring needs one dictionary look-up a word; unknown words are scored together in flat numpy arrays.
+Features are the character n-grams (4 to 6, with word edges) of all lower-cased words of a text, hashed into 2**BITS buckets;
+a bucket's value is the number of its n-grams divided by the number of words, so that a text's score does not drift with its
+length. The ratio of each bucket's smoothed document counts in the two classes scales it; a logistic regression over all
+scaled buckets gives the weights, of either sign. A text's score is the mean of its words' scores, so that scoring needs one
+dictionary look-up a word; unknown words are scored together in flat numpy arrays.
 
 The classifier is fitted in one task on at most `per_class` labelled rows of each class, those with the smallest hash of
-the id. Everything else covers all rows and whole texts.
+the id and text. Everything else covers all rows and whole texts.
 
-Defined cases: null texts are empty texts; an empty text gets the prior's score; a repeated label row counts once and
-conflicting ones count as label 1; rows with a null id or label are not learned from; without rows of both classes the score
-is the share of label 1 among the labels (0 without labels). Columns other than the id, the text and the label are ignored.
+Defined cases: null texts are empty texts; an empty text gets the intercept's score; a repeated label row counts once and
+conflicting ones count as label 1; repeated document rows of a labelled id are one row if they agree in text, else each has
+the label; rows with a null id or label are not learned from; without rows of both classes the score is the share of label 1
+among the labels (0 without labels). Columns other than the id, the text and the label are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BITS = 20
+BITS = 18
 ORDERS = (4, 5, 6)
 WORD = re.compile(r"\w+")
 
 
-def words_of(text: str | None) -> set[str]:
-    """Distinct lower-cased words."""
-    return set(WORD.findall((text or "").lower()))
+def words_of(text: str | None) -> Counter[str]:
+    """Lower-cased words and how often each stands."""
+    return Counter(WORD.findall((text or "").lower()))
 
 
 def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,53 +62,55 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, most_features: int = 50_000, least_docs: int = 4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """Buckets, their weights and the intercept. prior: share of label 1 among all labelled rows."""
-    offset = math.log((prior + 1e-6) / (1 - prior + 1e-6))
+def features(words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their values: n-grams for each 100 words."""
+    names = list(words)
+    bucket, owner = gram_buckets(names)
+    times = np.fromiter(words.values(), float, len(names))
+    found, place = np.unique(bucket, return_inverse=True)
+    return found, np.bincount(place, times[owner], len(found)) * (100 / max(1, words.total()))
+
+
+def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 120, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """The weights of all buckets and the intercept. prior: share of label 1 among all labelled rows, for a lack of either."""
     if not 0 < labels.sum() < len(labels):
-        return np.zeros(0, np.int64), np.zeros(0), offset
-    grams = [np.unique(gram_buckets(sorted(words_of(x)))[0]) for x in texts]
+        return np.zeros(0, np.float32), math.log((prior + 1e-6) / (1 - prior + 1e-6))
+    rows = [features(words_of(x)) for x in texts]
     seen = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for g, y in zip(grams, labels, strict=True):
+    for (g, _), y in zip(rows, labels, strict=True):
         seen[int(y)][g] += 1
-    n = [max(1, (labels == k).sum()) for k in (0, 1)]
+    n = [(labels == k).sum() for k in (0, 1)]
     ratio = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
-    telling = np.abs(ratio) / np.sqrt(1 / (seen[1] + 1) + 1 / (seen[0] + 1))
-    telling[(seen[0] + seen[1] < least_docs) | (ratio <= 0)] = 0  # signs of label 0 would drown label 1 in long texts
-    kept = np.sort(np.argsort(-telling, kind="stable")[:most_features])
-    kept = kept[telling[kept] > 3.5]
-    if not len(kept):
-        return np.zeros(0, np.int64), np.zeros(0), offset
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    cols = [place[g] for g in grams]
-    cols = [c[c >= 0] for c in cols]
-    col = np.concatenate(cols)
-    row = np.repeat(np.arange(len(texts)), [len(c) for c in cols])
-    value = ratio[kept][col]
-    weight, bias = np.zeros(len(kept)), 0.0
-    moment, spread = np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    share = labels.mean()
+    used = np.flatnonzero(seen[0] + seen[1])
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    col = np.concatenate([place[g] for g, _ in rows])
+    value = (np.concatenate([v for _, v in rows]) * ratio[used][col]).astype(np.float32)
+    row = np.repeat(np.arange(len(texts)), [len(g) for g, _ in rows])
+    own = np.where(labels == 1, 0.5 / n[1], 0.5 / n[0])  # both classes weigh the same
+    weight, bias = np.zeros(len(used)), 0.0
+    moment, spread = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):  # full-batch Adam on the logistic loss with an L2 penalty
-        z = np.bincount(row, value * weight[col], len(texts)) + bias
-        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) / len(texts)
-        grad = np.r_[np.bincount(col, value * miss[row], len(kept)) + 1e-3 * weight, miss.sum()]
+        z = np.bincount(row, value * weight.astype(np.float32)[col], len(texts)) + bias
+        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * own
+        grad = np.r_[np.bincount(col, value * miss.astype(np.float32)[row], len(used)) + penalty * weight, miss.sum()]
         moment = 0.9 * moment + 0.1 * grad
         spread = 0.99 * spread + 0.01 * grad * grad
-        move = 0.05 * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-9)
-        weight, bias = np.maximum(weight - move[:-1], 0), bias - move[-1]  # no sign of label 1 may speak against it
-    return kept, weight * ratio[kept], float(bias - math.log(share / (1 - share)) + offset)
+        move = 0.03 * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-9)
+        weight, bias = weight - move[:-1], bias - move[-1]
+    out = np.zeros(1 << BITS, np.float32)
+    out[used] = weight * ratio[used] * 100
+    return out, float(bias)
 
 
 class Scorer:
     """Scores texts, keeping the scores of the words it has seen, up to `keep_words` of them."""
 
-    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: float, keep_words: int = 300_000) -> None:
-        self.weights = np.zeros(1 << BITS)
-        self.weights[buckets] = weights
+    def __init__(self, weights: np.ndarray, bias: float, keep_words: int = 300_000) -> None:
+        self.weights = weights if len(weights) else np.zeros(1 << BITS)
         self.bias, self.keep_words, self.known = bias, keep_words, {}
 
-    def _learn(self, docs: list[set[str]]) -> None:
+    def _learn(self, docs: list[Counter[str]]) -> None:
         if len(self.known) > self.keep_words:
             self.known = {}
         new = list(set().union(*docs).difference(self.known))
@@ -114,31 +120,32 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> list[float]:
         docs = [words_of(x) for x in texts]
         self._learn(docs)
-        sums = (math.fsum(map(self.known.__getitem__, d)) + self.bias for d in docs)
-        return [1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) for z in sums]
+        means = (math.fsum(map(mul, map(self.known.__getitem__, d), d.values())) / max(1, d.total()) + self.bias for d in docs)
+        return [1 / (1 + math.exp(-max(-700.0, min(700.0, z)))) for z in means]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 3000) -> tuple[np.ndarray, float]:
     """Fit on at most per_class rows of each class, in one task; the driver gets the weights only."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     share = known.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0] or 0.0
-    pick = lambda y: known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    rows = pick(0).unionByName(pick(1))
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id")
+    pick = lambda df, y: df.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    rows = pick(known, 0).unionByName(pick(known, 1))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(rows), "doc_id").distinct()
+    sample = sample.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(2 * per_class)  # repeated ids must not pass the bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = [(x, y, t) for b in batches for x, y, t in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), b.column("text").to_pylist(), strict=True)]
         data.sort()
-        buckets, weights, bias = fit([t for _, _, t in data], np.array([y for _, y, _ in data], float), share)
-        yield pa.RecordBatch.from_pydict({"buckets": [buckets.astype(np.int64).tobytes()], "weights": [weights.astype(float).tobytes()], "bias": [bias]})
+        weights, bias = fit([t for _, _, t in data], np.array([y for _, y, _ in data], float), share)
+        yield pa.RecordBatch.from_pydict({"weights": [weights.astype(np.float32).tobytes()], "bias": [bias]})
 
-    row = sample.repartition(1).mapInArrow(run, "buckets binary, weights binary, bias double").first()
+    row = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
     if row is None:
-        return np.zeros(0, np.int64), np.zeros(0), math.log((share + 1e-6) / (1 - share + 1e-6))
-    return np.frombuffer(row.buckets, np.int64), np.frombuffer(row.weights, float), row.bias
+        return np.zeros(0, np.float32), math.log((share + 1e-6) / (1 - share + 1e-6))
+    return np.frombuffer(row.weights, np.float32), row.bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], texts_at_once: int = 256) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float], texts_at_once: int = 256) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 from 0.5 on) to the rows of docs, whose own columns of these names give way."""
     docs = docs.drop("score", "predicted")
     out = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
