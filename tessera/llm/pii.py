@@ -1,8 +1,9 @@
 """Personal data by weak supervision, with built-in expressions only.
 
 Patterns propose candidate spans: the four base kinds (whose valid matches always stay) and wider ones (written-out email
-addresses, national phone numbers, secrets after a keyword, long digit runs that fail the card checksum). Labelers vote on
-each candidate (-1, 0, 1): the strict pattern, a gazetteer of endings and keywords, cue words before it, and its edges.
+addresses, national phone numbers, secrets after a keyword, cards of 13 to 15 digits). Labelers vote on
+each candidate (-1, 0, 1): the strict pattern, gazetteers (mail endings, country calling codes, card issuers, address blocks,
+key prefixes), cue words before it, its edges, its length and its shape.
 Expectation-maximisation over the counts of vote patterns (a table whose size is fixed by the number of labelers) estimates
 the labelers' reliabilities; its posteriors train a logistic span classifier on votes, length and digit share, which decides
 about the candidates that are not base spans.
@@ -36,9 +37,15 @@ SECRET = r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key)\x20?[=:]\x20?[
 PATTERNS = ((0, EMAIL, "@"), (1, IP, "."), (2, CARD, None), (3, PHONE, "+"), (0, WIDE_EMAIL, "at"), (3, WIDE_PHONE, None), (4, SECRET, None))
 BASE = 4  # the first patterns are the base kinds
 
-ENDINGS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "info")
+# Public lists of mail endings, country calling codes, issuer ranges, key prefixes.
+ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "io", "info", "biz", "dev", "app", "eu", "de", "fr", "es", "it", "nl", "be", "at", "ch", "pt", "pl", "cz", "dk", "se", "no", "fi", "ie", "gr", "ru", "ua", "tr", "uk", "us", "ca", "mx", "br", "ar", "cl", "co", "au", "nz", "jp", "cn", "kr", "in", "za")
+CALLING = r"^(?:1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[58][0-9]|9[0-58]|9[679][0-9])"
+AREA = r"^[2-9](?!11)[0-9]{2}"
+ISSUERS = r"^(?:4|5[0-8]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|220[0-4]|3[0145678]|6[0-9]|81|9792)"
+BLOCKS = r"^0*(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\."
+KEYS = r"[=:]\x20?[\"']?(?:AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|pk_|eyJ|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})"
 CUES = r"(?i)(?:e-?mail|mailto|contact|phone|tel|call|fax|mobile|host|addr|address|ip|from|card|visa|payment|account|login|user|password|passwd|token|secret|key)\b[^\p{L}\n]{0,6}$"
-VOTES = ("strict", "gazetteer", "cue", "edge")
+VOTES = ("strict", "gazetteer", "cue", "edge", "length", "shape")
 
 
 def _digits(m: Column) -> Column:
@@ -66,28 +73,33 @@ def _candidates(pattern: int, kind: int, parts: Column, ends: Column) -> Column:
         valid = _valid(pattern, m)
         n_digits, size = F.length(_digits(m)), F.length(m)
         strict = F.when(valid, 1).otherwise(-1) if pattern < BASE else F.lit(0)
+        sure = lambda test: F.when(test, 1).otherwise(-1)
         if kind == 0:
-            gazetteer = F.when(F.lower(F.regexp_extract(m, r"([A-Za-z]+)\W*$", 1)).isin(*ENDINGS), 1).otherwise(-1)
-        elif kind == 4:
-            gazetteer = F.when(m.rlike(r"[0-9]") & m.rlike(r"[=:]\x20?[\"']?(?=[^\s]*[0-9])[^\s]{10,}"), 1).otherwise(-1)
-        elif kind == 3:
-            gazetteer = F.when(n_digits.between(10, 13), 1).otherwise(-1)
+            gazetteer = sure(F.lower(F.regexp_extract(m, r"([A-Za-z]+)\W*$", 1)).isin(*ENDINGS))
+            length, shape = sure(size.between(6, 254)), sure(~m.rlike(r"^[.+%-]|\.@|\.\."))
+        elif kind == 1:
+            gazetteer, length, shape = sure(m.rlike(BLOCKS)), F.lit(0), sure(~m.rlike(r"^0[0-9]|\.0[0-9]"))
         elif kind == 2:
-            gazetteer = F.when(n_digits.between(13, 19) & _digits(m).rlike("^[3-6]"), 1).otherwise(-1)
+            gazetteer, length, shape = sure(_digits(m).rlike(ISSUERS)), sure(n_digits.between(15, 16)), sure(m.rlike(r"^(?:[0-9]+|[0-9]{4}(?:[\x20-][0-9]{4})+)$"))
+        elif kind == 3:
+            gazetteer = sure(_digits(m).rlike(CALLING if pattern < BASE else AREA))
+            length, shape = sure(n_digits.between(10, 13)), sure(m.rlike(r"^[^()]*(?:\([0-9]+\)[^()]*)?$"))
         else:
-            gazetteer = F.when(m.rlike(r"^0|\.0[0-9]"), -1).otherwise(0)
+            value = F.regexp_extract(m, r"[=:]\x20?[\"']?(.*)$", 1)
+            gazetteer, length, shape = F.when(m.rlike(KEYS), 1).otherwise(0), sure(F.length(value) >= 12), sure(value.rlike("[0-9]"))
         cue = F.when(F.right(before, F.lit(40)).rlike(CUES), 1).otherwise(0)
         edge = F.when(F.right(before, F.lit(1)).rlike(r"[\p{L}\p{N}]") | F.left(after, F.lit(1)).rlike(r"[\p{L}\p{N}]"), -1).otherwise(1)
         return F.struct(
             F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), valid.alias("base"),
-            strict.alias("strict"), gazetteer.alias("gazetteer"), cue.alias("cue"), edge.alias("edge"),
-            F.least(F.lit(4), (size / 8).cast("int")).alias("size"), F.least(F.lit(4), (5 * n_digits / size).cast("int")).alias("digits"),
+            strict.alias("strict"), gazetteer.alias("gazetteer"), cue.alias("cue"), edge.alias("edge"), length.alias("length"), shape.alias("shape"),
+            F.least(F.lit(4), (size / 8).cast("int")).alias("size"), F.least(F.lit(4), (5 * n_digits / size).cast("int")).alias("digits"), n_digits.alias("n_digits"),
+            F.call_function("luhn_check", _digits(m)).alias("luhn"),
         )
 
     matches = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
     kept = F.transform(matches, one)
-    if pattern == 2:  # of digit runs, those of a card's length only
-        return F.filter(kept, lambda c: c["base"] | (c["gazetteer"] == 1))
+    if pattern == 2:  # of digit runs, those of a card's length and checksum only
+        return F.filter(kept, lambda c: c["n_digits"].between(13, 19) & c["luhn"])
     return kept
 
 
@@ -168,7 +180,7 @@ def _features(votes: tuple[int, ...], kind: int, size: int, digits: int) -> tupl
 
 
 def fit(cands: DataFrame) -> list[float]:
-    """Weights of the span classifier, from the counts of (votes, kind, size, digits): at most 81 * 5 * 5 * 5 rows."""
+    """Weights of the span classifier, from the counts of (votes, kind, size, digits): at most 729 * 5 * 5 * 5 rows."""
     counts = cands.select(F.explode("cands").alias("c")).groupBy(*(F.col(f"c.{v}").alias(v) for v in (*VOTES, "kind", "size", "digits"))).agg(F.count(F.lit(1)).alias("n")).collect()
     by_votes: dict[tuple[int, ...], int] = {}
     for r in counts:

@@ -78,3 +78,35 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     cands = pii.candidates(docs)
     assert pii.spans(cands, pii.fit(cands)).count() == 0
+
+
+def test_added_spans_are_found(spark, tmp_path):
+    """Recall of planted secrets and national phone numbers, which are no base spans; decoys that fail the checksum stay out."""
+    from tessera.llm.common import stored, table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    cands = stored(pii.candidates(docs), str(tmp_path / "c"))
+    got = {r.doc_id: {tuple(x) for x in r.spans} for r in pii.spans(cands, pii.fit(cands)).collect()}
+    planted = found = decoys = 0
+    for r in docs.collect():
+        text = r.text or ""
+        for kind, pattern in ((4, r'token = "[0-9a-f]{40}'), (3, r"(?<![0-9] )\([0-9]{3}\) [0-9]{3}-[0-9]{4}")):
+            for m in re.finditer(pattern, text):
+                planted += 1
+                found += any(k == kind and a <= m.start() and m.end() <= b for k, a, b in got[r.doc_id])
+        for m in re.finditer(r"(?<![0-9])[0-9]{16}(?![0-9])", text):
+            decoys += not luhn(m[0]) and any(k == 2 and a <= m.start() < b for k, a, b in got[r.doc_id])
+    assert planted >= 10 and found >= 0.9 * planted and decoys == 0
+
+
+def test_reliabilities_against_a_known_mixture():
+    """EM finds the labelers' reliabilities that votes were drawn with."""
+    r = random.Random(1)
+    votes = {}
+    for _ in range(20_000):
+        y = r.random() < 0.6
+        v = tuple((1 if (r.random() < p) == y else -1) for p in (0.95, 0.9, 0.85, 0.8, 0.75, 0.7))
+        votes[v] = votes.get(v, 0) + 1
+    right, prior, _ = pii.reliabilities(sorted(votes.items()))
+    assert abs(prior - 0.6) < 0.03
+    assert all(abs(a - p) < 0.04 and abs(b - p) < 0.04 for (a, b), p in zip(right, (0.95, 0.9, 0.85, 0.8, 0.75, 0.7), strict=True))
