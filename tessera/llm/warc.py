@@ -5,7 +5,8 @@ rolls to a new archive after `roll_bytes`. Archive names are unique for each att
 successful attempts reach the index, so a task that is run again after an executor is lost leaves nothing wrong behind.
 
 Defined cases: null html is an empty payload, a null URL an empty target; a null page_id is written as an empty id and
-read as null; of rows that agree in page_id and payload one is the response. Other columns of the pages are ignored.
+read as null; of rows that agree in page_id and payload one is the response, told by its place in the table, so that pages
+must be a table that is read alike each time, as files are. Other columns of the pages are ignored.
 """
 
 from __future__ import annotations
@@ -139,8 +140,8 @@ def _id(value: str) -> int | None:
     return int(inside) if inside else None
 
 
-def read_records(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8 << 20, with_payload: bool = True) -> DataFrame:
-    """Read the records of the index rows: sorted by archive and offset, then in coalesced byte ranges.
+def read_records(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8 << 20, task_bytes: int = 16 << 20, with_payload: bool = True) -> DataFrame:
+    """Read the records of the index rows: sorted by archive and offset, then in coalesced byte ranges, about task_bytes a task.
 
     Digest and length of a response are taken from the payload that was read; those of a revisit from its header."""
 
@@ -185,5 +186,6 @@ def read_records(index: DataFrame, path: str, gap: int = 1 << 16, most: int = 8
                         yield pa.RecordBatch.from_pylist(out, schema=schema)
                 start = stop
 
-    ordered = index.repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    tasks = -(-(index.agg(F.sum("length")).first()[0] or 0) // task_bytes)
+    ordered = index.repartitionByRange(max(1, tasks), "archive", "offset").sortWithinPartitions("archive", "offset")
     return ordered.select("archive", "offset", "length").mapInArrow(read, RECORD_SCHEMA)
