@@ -23,3 +23,14 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS digest", "2 AS id", "3 AS n_turns")
     assert {tuple(x) for x in chat.render(df).collect()} == brute(rows)
     assert chat.render(df.limit(0)).count() == 0
+
+
+def test_long_conversation_and_its_snapshots(spark):
+    """More turns than one block of digests; null ids, repeated rows and extra columns."""
+    full = [("user" if k % 2 else "assistant", f"turn {k}") for k in range(200)]
+    rows = [(c, t, *full[t]) for c, size in ((1, 63), (2, 64), (3, 65), (4, 200), (5, 200)) for t in range(size)]
+    rows += [(None, 0, None, None), (None, 0, None, None)] + rows[:5]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").selectExpr("*", "1 AS n_turns", "2 AS id", "3 AS lines")
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chat.render(df).collect()}
+    assert got == {4: (200, 2, "".join(f"<|{a}|>\n{b}\n<|end|>\n" for a, b in full)), None: (1, 1, "<||>\n\n<|end|>\n")}
+    assert chat.render(df.limit(0)).count() == 0
