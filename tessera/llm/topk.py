@@ -3,9 +3,11 @@
 Vectors become integers floor(scale * component). Adding one coordinate that brings all to one norm turns the largest inner
 product into the least Euclidean distance, for which the triangle inequality holds. A vector's key is its nearest pivot and
 the distance to it; vectors sorted by key are dealt into index parts of about `part_rows`. First, each query searches the
-part where its own key falls, annuli outwards, and so gets a lower bound for its k-th score. Then each part is searched for
-all queries, in tiles of at most `tile_queries`: a tile expands a part's annuli sorted by their bound and stops where the
-triangle inequality rules out the rest. The final scores are exact integers.
+part where its own key falls, annuli outwards, and so gets a lower bound for its k-th score. The annuli of all parts (at most
+MOST_PARTS parts, so that this table has a bound) then tell which parts the triangle inequality leaves for each query; only
+those meet. Queries whose own parts lie side by side form a tile of about `tile_queries`, and a part is sent to the tiles that
+need it; a tile expands a part's annuli sorted by their bound and stops where the triangle inequality rules out the rest. The
+final scores are exact integers.
 
 Pivots are the `pivots` vectors with the smallest hash (a bounded sample that affects speed only).
 
@@ -24,6 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.llm.common import stored
+
+MOST_PARTS = 1 << 16
 SLACK = 1e-6  # relative; distances are floating-point numbers
 
 
@@ -63,6 +68,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def highest_scores(q: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray, pivots: np.ndarray, norm: float) -> np.ndarray:
+    """For each query and annulus (cell, least and greatest key) a score that no row of the annulus passes."""
+    x = _query_lift(q)
+    size2 = (x * x).sum(1)
+    to_pivot = np.stack([np.linalg.norm(x - p, axis=1) for p in pivots], 1) if len(pivots) else np.zeros((len(q), 0))
+    apart = np.maximum(np.maximum(low[None] - to_pivot[:, cell], to_pivot[:, cell] - high[None]), 0)  # least distance
+    bound = (size2[:, None] + norm * norm - apart**2) / 2
+    return bound + SLACK * (np.abs(bound) + norm * norm + size2[:, None]) + 1
+
+
 def search_part(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, cells: np.ndarray, q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray | None, pivots: np.ndarray, norm: float, k: int, annulus: int = 512) -> Iterator[tuple[int, int, int]]:
     """(query id, id, score) of the k best of one part for each query, none below its floor.
 
@@ -72,14 +87,7 @@ def search_part(ids: np.ndarray, x: np.ndarray, keys: np.ndarray, cells: np.ndar
         stop = min(edges[-1] + annulus, len(ids))
         edges.append(int(min(stop, np.searchsorted(cells, cells[edges[-1]], "right"))))
     rings = [(a, b, int(cells[a]), keys[a], keys[b - 1]) for a, b in zip(edges, edges[1:], strict=False)]
-    to_pivot = np.linalg.norm(_query_lift(q)[:, None, :] - pivots[None], axis=2) if len(pivots) else np.zeros((len(q), 0))
-    size2 = (q.astype(float) ** 2).sum(1)
-    low = np.array([r[3] for r in rings])
-    high = np.array([r[4] for r in rings])
-    cell = np.array([r[2] for r in rings])
-    apart = np.maximum(np.maximum(low[None] - to_pivot[:, cell], to_pivot[:, cell] - high[None]), 0)  # least distance
-    bound = (size2[:, None] + norm * norm - apart**2) / 2
-    bound += SLACK * (np.abs(bound) + norm * norm + size2[:, None]) + 1
+    bound = highest_scores(q, np.array([r[2] for r in rings]), np.array([r[3] for r in rings]), np.array([r[4] for r in rings]), pivots, norm)
     best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
     reached = np.full(len(q), -np.inf) if floor is None else floor.astype(float)
     for ring in np.argsort(-bound.max(0), kind="stable"):
@@ -117,7 +125,7 @@ def top_k(vectors: DataFrame, path: str, every: int = 100, k: int = 10, scale: i
     for n, r in enumerate(sample):
         points[n, : len(r.x)] = r.x
     points = _lift(points, norm)
-    parts, tiles = max(1, -(-rows // part_rows)), max(1, -(-asked // tile_queries))
+    parts, tiles = max(1, min(MOST_PARTS, -(-rows // part_rows))), max(1, -(-asked // tile_queries))
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,12 +155,25 @@ def top_k(vectors: DataFrame, path: str, every: int = 100, k: int = 10, scale: i
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
     queries = again.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])  # equal rows lie in one part; a floor counts each once
-    tile = F.pmod(F.xxhash64("vec_id"), F.lit(tiles)).cast("int")
-    deal = index.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).groupBy("part", "tile")
-    near = deal.cogroup(queries.select(F.col("vec_id").alias("asker"), F.col("x").alias("q"), "part", tile.alias("tile")).groupBy("part", "tile")).applyInArrow(search, kind)
+    tile = (F.col("part").cast("long") * tiles / parts).cast("int").alias("tile")
+    asked_by = queries.select(F.col("vec_id").alias("asker"), F.col("x").alias("q"), "part", tile)
+    near = index.withColumn("tile", tile).groupBy("part", "tile").cogroup(asked_by.groupBy("part", "tile")).applyInArrow(search, kind)
     floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sort_array(F.collect_list("score"), asc=False).getItem(k - 1)).otherwise(-(2**62)).alias("floor"))
-    asking = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").select(F.col("vec_id").alias("asker"), F.col("x").alias("q"), F.coalesce("floor", F.lit(-(2**62))).alias("floor"), tile.alias("tile"))
-    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = deal.cogroup(asking.groupBy("part", "tile")).applyInArrow(search, kind)
+    rings = again.groupBy("part", "cell").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()  # by MOST_PARTS and the pivots
+    ring_part, ring_cell = (np.array([r[c] for r in rings], np.int64) for c in ("part", "cell"))
+    ring_low, ring_high = (np.array([r[c] for r in rings], float) for c in ("low", "high"))
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                q = _matrix(pa.concat_arrays([batch.column("q")]), dim)
+                able = highest_scores(q, ring_cell, ring_low, ring_high, points, norm) >= batch.column("floor").to_numpy()[:, None].astype(float)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([np.unique(ring_part[row]).tolist() for row in able], pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
+
+    asking = asked_by.join(floors, F.col("asker") == F.col("query_id"), "left").select("asker", "q", F.coalesce("floor", F.lit(-(2**62))).alias("floor"), "tile")
+    asking = stored(asking.mapInArrow(left, "asker long, q array<long>, floor long, tile int, parts array<int>"), f"{path}-asking")
+    meet = spark.read.schema(asking.schema).parquet(f"{path}-asking").select(F.explode("parts").alias("part"), "tile").distinct()
+    found = index.join(meet, "part").groupBy("part", "tile").cogroup(asking.withColumn("part", F.explode("parts")).drop("parts").groupBy("part", "tile")).applyInArrow(search, kind)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
