@@ -57,6 +57,13 @@ def test_long_runs():
     both("".join(r.choice("aàb =-_/*#") for _ in range(20_000)))
 
 
+def test_very_long_words():
+    """Stretches without blanks in nearly linear time, cut and uncut, beside common words."""
+    r = random.Random(6)
+    both("the quick " + "".join(r.choice("etaoinshrdlu") for _ in range(200_000)) + " fox " + "ab" * 3000)
+    both("".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(200_000)) + "▁x日本" * 300)
+
+
 def test_table(spark, library):
     rows = [(1, None), (2, ""), (3, "The quick  brown fox"), (3, "The quick  brown fox"), (None, "x")]
     got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS ids", "2 AS n_tokens"), open(PATH, "rb").read()).collect()
