@@ -24,7 +24,7 @@ def test_stages_against_brute_force(spark):
     group = {i: c for i, _, c in test_jaccard.brute(flat, 5, 80)}
     flat = [(i, t) for i, t in flat if group[i] == i]
     bench = [(r.item_id, decontamination.normalise(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    matcher = decontamination.Matcher([(i, x) for i, x in bench if len(x) >= 40], 0.05)
+    matcher = decontamination.Matcher([(i, x) for i, x in bench ], 0.1, 40)
     flat = [(i, t) for i, t in flat if not matcher.find(decontamination.normalise(t))]
 
     for name, stage in corpus_pipeline.STAGES:
