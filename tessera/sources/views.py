@@ -148,3 +148,40 @@ def hrefs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 HREFS = """hrefs AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS href FROM pages)"""
+
+
+#: One generated Python file for each part; the text is SQL that both engines read, as it makes input data and no result.
+_SOURCE_TEXT = """'from pkg_' || ((p_partkey * 3 + 1) % 10) || ' import helper_' || (p_size % 5) || chr(10)
+ || CASE WHEN p_partkey % 23 = 0 THEN 'def Bad' ELSE 'def ' || CASE WHEN p_partkey % 6 = 0 THEN '_' ELSE '' END END || replace(p_name, ' ', '_') || '_' || p_partkey || '(self, item: int, limit=10' || CASE WHEN p_size % 7 = 0 THEN ', a=1, b=2, c=3' ELSE '' END || '):' || chr(10)
+ || CASE WHEN p_partkey % 3 > 0 THEN '    \"\"\"' || p_type || ' of ' || p_brand || ' in a line that says a good deal more than it would have to\"\"\"' || chr(10) ELSE '' END
+ || '    total = ' || p_size || chr(10)
+ || CASE WHEN p_partkey % 5 = 0 THEN '    unused = 1  # TODO remove' || chr(10) ELSE '' END
+ || CASE WHEN p_partkey % 11 = 0 THEN '    total = eval(item)' || chr(10) ELSE '' END
+ || CASE WHEN p_partkey % 13 = 0 THEN '    total = random.random()' || chr(10) ELSE '' END
+ || CASE WHEN p_partkey % 17 = 0 THEN '    print(password)' || chr(10) ELSE '' END
+ || CASE WHEN p_size % 4 > 0 THEN '    if item > 1 and limit:' || chr(10) ELSE '' END
+ || CASE WHEN p_size % 4 > 1 THEN '        for n in range(item):' || chr(10) ELSE '' END
+ || CASE WHEN p_size % 4 > 2 THEN '            while total > 3 or n:' || chr(10) ELSE '' END
+ || repeat(' ', CAST(4 * (p_size % 4 + 1) AS INT)) || 'total = helper_' || (p_size % 5) || '(total, item)' || chr(10)
+ || '    return total'
+ || CASE WHEN p_partkey % 19 = 0 THEN chr(10) || '    total = 0' ELSE '' END"""
+_SOURCE_PATH = "CASE WHEN p_partkey % 10 = 9 THEN 'tests/' ELSE 'pkg_' || (p_partkey % 10) || '/' END || replace(p_name, ' ', '_') || '_' || p_partkey || '.py'"
+
+
+def src(spark: SparkSession, sf: str) -> DataFrame:
+    """file_id, path and code of each generated source file."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("file_id"), F.expr(_SOURCE_PATH).alias("path"), F.expr(_SOURCE_TEXT).alias("code"))
+
+
+SRC = f"src AS (SELECT p_partkey AS file_id, {_SOURCE_PATH} AS path, {_SOURCE_TEXT} AS code FROM part)"
+
+
+def src_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """file_id, path, pos (from 1), line and indent (in steps of four) of each line of the sources."""
+    d = src(spark, sf).select("file_id", "path", F.posexplode(F.split("code", "\n")).alias("p", "line"))
+    return d.select("file_id", "path", (F.col("p") + 1).alias("pos"), "line", ((F.length("line") - F.length(F.ltrim("line"))) / 4).cast("int").alias("indent"))
+
+
+SRC_LINES = f"""{SRC}, src_lines AS (
+  SELECT file_id, path, CAST(pos AS INTEGER) AS pos, line, CAST((length(line) - length(ltrim(line))) // 4 AS INTEGER) AS indent FROM (
+    SELECT file_id, path, unnest(string_split(code, chr(10))) AS line, generate_subscripts(string_split(code, chr(10)), 1) AS pos FROM src))"""
