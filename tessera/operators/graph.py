@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.lineage import cut
 
@@ -50,9 +51,24 @@ def parse(query: str) -> GraphQuery:
     return out
 
 
-def predicate(column: Column, op: str, value: object) -> Column:
-    """One condition; a missing attribute never matches."""
+def _fits(kind: T.DataType, value: object) -> bool:
+    """Whether a column of this type and a value can be compared."""
+    if isinstance(value, str):
+        return isinstance(kind, T.StringType)
+    return isinstance(kind, T.NumericType)
+
+
+def predicate(column: Column, op: str, value: object, kind: T.DataType) -> Column:
+    """One condition on a column of this type. A missing attribute never matches; of a text and a number, only != holds; a
+    pattern that does not compile matches nothing (G3 to G5)."""
     text = column.cast("string")
+    if op in ("=", "!=", ">", "<", ">=", "<=") and not _fits(kind, value):
+        return column.isNotNull() if op == "!=" else F.lit(False)
+    if op == "matches":
+        try:
+            re.compile(str(value))
+        except re.error:
+            return F.lit(False)
     return F.coalesce(
         {
             "=": lambda: column == value, "!=": lambda: column != value, ">": lambda: column > value, "<": lambda: column < value,
@@ -66,7 +82,7 @@ def predicate(column: Column, op: str, value: object) -> Column:
 def select_nodes(nodes: DataFrame, query: GraphQuery | str, tiebreak: str = "id") -> DataFrame:
     """Filter, sort (missing keys as 0), skip and limit."""
     q = parse(query) if isinstance(query, str) else query
-    known = [predicate(F.col(f), op, v) if f in nodes.columns else F.lit(False) for f, op, v in q.conditions]
+    known = [predicate(F.col(f), op, v, nodes.schema[f].dataType) if f in nodes.columns else F.lit(False) for f, op, v in q.conditions]
     out = nodes.filter(reduce(lambda a, b: a & b, known)) if known else nodes
     if q.order_by or q.skip or q.limit:
         keys = []
@@ -90,24 +106,66 @@ def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids, F.col("from_id") == F.col("id"), "left_semi").join(ids, F.col("to_id") == F.col("id"), "left_semi")
 
 
-def traverse(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out") -> DataFrame:
-    """id and its least depth from seeds(id), at most `depth` hops; each hop is one join of the frontier and an anti join."""
+def _oriented(edges: DataFrame, direction: str) -> DataFrame:
+    """at and next of each step along edges: out, in or both ways."""
     steps = []
     if direction in ("out", "both"):
         steps.append(edges.select(F.col("from_id").alias("at"), F.col("to_id").alias("next")))
     if direction in ("in", "both"):
         steps.append(edges.select(F.col("to_id").alias("at"), F.col("from_id").alias("next")))
-    step = reduce(DataFrame.unionByName, steps).distinct()
+    return reduce(DataFrame.unionByName, steps)
+
+
+def traverse(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "out") -> DataFrame:
+    """id and its least depth from seeds(id), at most `depth` hops, or all that can be reached (None).
+
+    Each hop joins the frontier with the edges as they are, so that a small frontier filters them where they are read, and
+    drops what was seen. From three hops on the oriented edges are written once."""
+    step = _oriented(edges, direction)
+    if depth is None or depth > 2:
+        step = cut(step)
     seen = seeds.select("id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for d in range(1, depth + 1):
+    frontier, d = seen, 0
+    while depth is None or d < depth:
+        d += 1
         reached = frontier.join(step, F.col("id") == F.col("at")).select(F.col("next").alias("id")).distinct()
         fresh = reached.join(seen.select(F.col("id").alias("old")), F.col("id") == F.col("old"), "left_anti").withColumn("depth", F.lit(d))
-        frontier = cut(fresh) if d < depth else fresh
+        frontier = fresh if d == depth else cut(fresh)
+        if depth is None and frontier.limit(1).count() == 0:
+            break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def closure(edges: DataFrame, seeds: DataFrame, direction: str = "out") -> DataFrame:
+    """id and least depth of all that seeds reach, seeds included: to a fixpoint."""
+    return traverse(edges, seeds, None, direction)
+
+
+def between(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges on ways from starts to ends: both ends are reached from the one and reach the other."""
+    inside = closure(edges, starts).select("id").intersect(closure(edges, ends, "in").select("id"))
+    return induced(cut(inside), edges)
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """id and level of each node: the length of the longest way that leads to it, null for nodes on or behind a cycle.
+
+    Each round takes the nodes that no remaining edge enters, so that rounds are as many as the longest way has nodes."""
+    left = cut(edges.select("from_id", "to_id").filter("from_id IS NOT NULL AND to_id IS NOT NULL").distinct())
+    nodes = cut(left.select(F.col("from_id").alias("id")).union(left.select("to_id")).distinct())
+    out, level = nodes.limit(0).withColumn("level", F.lit(0)), 0
+    while True:
+        free = cut(nodes.join(left.select(F.col("to_id").alias("t")), F.col("id") == F.col("t"), "left_anti"))
+        if free.limit(1).count() == 0:
+            return out.unionByName(nodes.withColumn("level", F.lit(None).cast("int")))
+        gone = free.select(F.col("id").alias("g"))
+        out = out.unionByName(free.withColumn("level", F.lit(level)))
+        left = cut(left.join(gone, F.col("from_id") == F.col("g"), "left_anti"))
+        nodes = cut(nodes.join(gone, F.col("id") == F.col("g"), "left_anti"))
+        level += 1
+
+
 def simple_paths(edges: DataFrame, longest: int, seeds: DataFrame | None = None) -> DataFrame:
     """path (array of ids) of every simple path of 1 to `longest` edges."""
     e = edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).distinct()

@@ -46,11 +46,11 @@ def edges_between_selected(spark: SparkSession, sf: str) -> DataFrame:
     return g.induced(nodes, v.g_edges(spark, sf)).select("from_id", "to_id", "type")
 
 
-@query(f"""WITH {v.G_EDGES} SELECT type, count(*) FILTER (WHERE confidence >= 0.95) AS definite, count(*) FILTER (WHERE confidence < 0.95) AS uncertain,
-  bool_or(confidence < 0.95) AS needs_approval FROM g_edges GROUP BY type""")
+@query(f"""WITH {v.G_EDGES} SELECT type, count(*) FILTER (WHERE confidence >= 0.8) AS definite, count(*) FILTER (WHERE confidence < 0.8) AS uncertain,
+  bool_or(confidence < 0.8) AS needs_approval FROM g_edges GROUP BY type""")
 def dependency_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Definite and uncertain dependencies at .95 and the approval flag."""
-    sure = F.col("confidence") >= 0.95
+    """Definite and uncertain dependencies at .8 and the approval flag."""
+    sure = F.col("confidence") >= 0.8
     return v.g_edges(spark, sf).groupBy("type").agg(F.count_if(sure).alias("definite"), F.count_if(~sure).alias("uncertain"), F.bool_or(~sure).alias("needs_approval"))
 
 

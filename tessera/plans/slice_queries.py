@@ -28,13 +28,13 @@ def _reach(name: str, seeds: str, a: str, b: str) -> str:
 @query(f"WITH RECURSIVE {FLOW}, {_reach('r', chr(40) + chr(39) + 'part:1' + chr(39) + chr(41), 'b', 'a')} SELECT id FROM r")
 def backward_slice(spark: SparkSession, sf: str) -> DataFrame:
     """All that a part depends on."""
-    return g.traverse(_flow(spark, sf), _one(spark, "part:1"), 2, "in").select("id")
+    return g.closure(_flow(spark, sf), _one(spark, "part:1"), "in").select("id")
 
 
 @query(f"WITH RECURSIVE {FLOW}, {_reach('r', chr(40) + chr(39) + 'customer:1' + chr(39) + chr(41), 'a', 'b')} SELECT id FROM r")
 def forward_slice(spark: SparkSession, sf: str) -> DataFrame:
     """All that a customer affects."""
-    return g.traverse(_flow(spark, sf), _one(spark, "customer:1"), 2, "out").select("id")
+    return g.closure(_flow(spark, sf), _one(spark, "customer:1"), "out").select("id")
 
 
 @query(f"WITH {FLOW} SELECT DISTINCT a AS id, type FROM flow WHERE b = 'part:1'")
@@ -50,9 +50,9 @@ SELECT id FROM f INTERSECT SELECT id FROM k""")
 def chop(spark: SparkSession, sf: str) -> DataFrame:
     """What lies between a customer and its first part: forward and backward slice together."""
     flow = _flow(spark, sf)
-    forward = g.traverse(flow, _one(spark, "customer:1"), 2, "out").select("id")
+    forward = g.closure(flow, _one(spark, "customer:1"), "out").select("id")
     target = forward.filter("id LIKE 'part:%'").orderBy("id").limit(1)
-    return forward.intersect(g.traverse(flow, target, 2, "in").select("id"))
+    return forward.intersect(g.closure(flow, target, "in").select("id"))
 
 
 TWO = f"""WITH RECURSIVE {FLOW}, w AS (SELECT s.id AS seed, s.id FROM (VALUES ('part:1'), ('part:2')) s(id) UNION SELECT w.seed, flow.a FROM w JOIN flow ON flow.b = w.id)"""
@@ -60,7 +60,7 @@ TWO = f"""WITH RECURSIVE {FLOW}, w AS (SELECT s.id AS seed, s.id FROM (VALUES ('
 
 def _two(spark: SparkSession, sf: str) -> DataFrame:
     flow = _flow(spark, sf)
-    parts = [g.traverse(flow, _one(spark, s), 2, "in").select("id", F.lit(s).alias("seed")) for s in ("part:1", "part:2")]
+    parts = [g.closure(flow, _one(spark, s), "in").select("id", F.lit(s).alias("seed")) for s in ("part:1", "part:2")]
     return parts[0].unionByName(parts[1])
 
 
@@ -81,7 +81,7 @@ SELECT r.id, (SELECT count(*) FROM e WHERE e.b = r.id) > 1 AS core, (SELECT coun
 def slice_components(spark: SparkSession, sf: str) -> DataFrame:
     """Core (in-degree above 1) and auxiliary (out-degree 0) nodes of a slice."""
     flow = _flow(spark, sf)
-    nodes = g.traverse(flow, _one(spark, "customer:1"), 2, "out").select("id")
+    nodes = g.closure(flow, _one(spark, "customer:1"), "out").select("id")
     e = g.induced(nodes, flow)
     into, out = e.groupBy(F.col("to_id").alias("i")).count().withColumnRenamed("count", "ni"), e.groupBy(F.col("from_id").alias("o")).count().withColumnRenamed("count", "no")
     joined = nodes.join(into, F.col("id") == F.col("i"), "left").join(out, F.col("id") == F.col("o"), "left")

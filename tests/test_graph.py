@@ -51,3 +51,24 @@ def test_hub_is_cut_to_its_limit(spark):
     hub = spark.createDataFrame([(f"caller{k}", "hub") for k in range(500)], "from_id string, to_id string")
     near = g.traverse(hub, spark.createDataFrame([("hub",)], "id string"), 2, "both")
     assert near.count() == 501 and near.orderBy("depth", "id").limit(100).count() == 100
+
+
+def test_types_that_do_not_match(nodes):
+    assert ids(g.select_nodes(nodes, "WHERE name = 5")) == []
+    assert len(ids(g.select_nodes(nodes, "WHERE name != 5"))) == 4
+    assert ids(g.select_nodes(nodes, "WHERE complexity = abc")) == [] and ids(g.select_nodes(nodes, "WHERE name > 3")) == []
+    assert ids(g.select_nodes(nodes, "WHERE name matches '(['")) == []
+    assert ids(g.select_nodes(nodes, "WHERE complexity contains '5' ORDER BY complexity")) == ["f3", "f1"]
+
+
+def test_closure_and_levels(spark):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(12)]
+    edges = spark.createDataFrame([*chain, ("n0", "n5"), ("n12", "n12x"), ("a", "b"), ("b", "a"), ("b", "c"), ("n3", "c")], "from_id string, to_id string")
+    seed = spark.createDataFrame([("n0",)], "id string")
+    far = {r.id: r.depth for r in g.closure(edges, seed).collect()}
+    assert far["n4"] == 4 and far["n5"] == 1 and far["n12x"] == 9 and far["c"] == 4 and "a" not in far
+    assert {r.id for r in g.closure(edges, spark.createDataFrame([("n2",)], "id string"), "in").collect()} == {"n0", "n1", "n2"}
+    level = {r.id: r.level for r in g.levels(edges).collect()}
+    assert level["n12x"] == 13 and level["n5"] == 5 and level["a"] is None and level["c"] is None
+    some = g.between(edges, seed, spark.createDataFrame([("n5",)], "id string")).collect()
+    assert {(r.from_id, r.to_id) for r in some} == {*chain[:5], ("n0", "n5")}
