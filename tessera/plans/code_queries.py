@@ -11,8 +11,6 @@ from pyspark.sql.window import Window
 from tessera.plans.registry import query
 from tessera.sources import views as v
 
-ONE = F.lit(1)
-
 
 def cyclomatic(code):
     """1, the branches and the boolean operators of a text."""
@@ -119,7 +117,7 @@ def source_calls(spark: SparkSession, sf: str) -> DataFrame:
     lines = v.src_lines(spark, sf)
     called = lines.filter("indent > 0").select(F.col("file_id").alias("f"), "pos", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z_][\w.]*)\("))).alias("callee"))
     joined = called.join(symbols(lines), (F.col("f") == F.col("file_id")) & F.col("pos").between(F.col("start"), F.col("stop")))
-    return joined.groupBy(F.col("name").alias("caller"), "callee").agg(F.count(ONE).alias("n"))
+    return joined.groupBy(F.col("name").alias("caller"), "callee").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {v.SRC_LINES}, d AS (SELECT path, pos, regexp_extract(line, '^ *([a-z_]+) = ', 1) AS name FROM src_lines WHERE regexp_matches(line, '^ +[a-z_]+ = '))
@@ -172,7 +170,7 @@ def docstring_coverage(spark: SparkSession, sf: str) -> DataFrame:
     lines = v.src_lines(spark, sf)
     first = lines.select(F.col("file_id").alias("f"), (F.col("pos") - 1).alias("at"), F.col("line").startswith('    """').alias("documented"))
     s = symbols(lines).join(first, (F.col("file_id") == F.col("f")) & (F.col("start") == F.col("at")))
-    return s.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("package")).agg(F.round(100.0 * F.count_if("documented") / F.count(ONE), 4).alias("coverage"), F.count(ONE).alias("functions"))
+    return s.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("package")).agg(F.round(100.0 * F.count_if("documented") / F.count(F.lit(1)), 4).alias("coverage"), F.count(F.lit(1)).alias("functions"))
 
 
 @query(f"""WITH {v.SRC_LINES} SELECT path, pos, 'line_too_long' AS issue FROM src_lines WHERE length(line) > 79 UNION ALL SELECT path, pos, 'bare_note' FROM src_lines WHERE contains(line, 'TODO')""")
@@ -188,7 +186,7 @@ def crawl_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Files, lines and largest file of each directory, with its kind."""
     kind = F.when(F.col("path").startswith("tests/"), "tests").otherwise("source")
     d = v.src(spark, sf).groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("directory"), kind.alias("kind"))
-    return d.agg(F.count(ONE).alias("files"), F.sum(F.size(F.split("code", "\n"))).alias("lines"), F.max(F.length("code")).alias("largest"))
+    return d.agg(F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("code", "\n"))).alias("lines"), F.max(F.length("code")).alias("largest"))
 
 
 @query(f"""WITH {v.SRC_LINES}, b AS (SELECT path, pos, indent, lead(pos) OVER (PARTITION BY path ORDER BY pos) AS body FROM src_lines WHERE regexp_matches(line, '^ *(?:if|while|for)\\b'))
@@ -198,7 +196,7 @@ def control_dependencies(spark: SparkSession, sf: str) -> DataFrame:
     lines = v.src_lines(spark, sf)
     b = lines.filter(F.col("line").rlike(r"^ *(?:if|while|for)\b")).select(F.col("path").alias("p"), F.col("pos").alias("control"), F.col("indent").alias("deep"))
     held = b.join(lines, (F.col("p") == F.col("path")) & (F.col("pos") > F.col("control")) & (F.col("indent") > F.col("deep")))
-    return held.groupBy("path", "control").agg(F.count(ONE).alias("controlled"))
+    return held.groupBy("path", "control").agg(F.count(F.lit(1)).alias("controlled"))
 
 
 @query(f"""WITH {v.SRC_LINES}, loops AS (SELECT path, pos, indent FROM src_lines WHERE regexp_matches(line, '^ *(?:while|for)\\b')),
@@ -233,9 +231,10 @@ def split_name(name):
     return F.filter(F.when(name.contains("_"), F.split(F.lower(name), "_")).otherwise(camel), lambda x: x != "")
 
 
-@query(f"""WITH {SYMBOLS}, n AS (SELECT name, string_split(path, '/')[1] AS package, list_distinct(list_filter(string_split(lower(name), '_'), lambda x: x <> '')) AS parts FROM symbols WHERE NOT starts_with(path, 'tests/') AND stop - start > 7)
+@query(f"""WITH {SYMBOLS}, n AS (SELECT name, string_split(path, '/')[1] AS package, list_filter(string_split(lower(name), '_'), lambda x: x <> '')[1] AS first, list_distinct(list_filter(string_split(lower(name), '_'), lambda x: x <> '')) AS parts
+  FROM symbols WHERE NOT starts_with(path, 'tests/') AND stop - start > 7)
 SELECT a.name AS a, b.name AS b, round(CAST(len(list_intersect(a.parts, b.parts)) AS DOUBLE) / len(list_distinct(list_concat(a.parts, b.parts))), 6) AS similarity
-FROM n a JOIN n b ON a.package = b.package AND a.parts[1] = b.parts[1] AND a.name < b.name WHERE len(list_intersect(a.parts, b.parts)) * 2 >= len(list_distinct(list_concat(a.parts, b.parts)))""")
+FROM n a JOIN n b ON a.package = b.package AND a.first = b.first AND a.name < b.name WHERE len(list_intersect(a.parts, b.parts)) * 2 >= len(list_distinct(list_concat(a.parts, b.parts)))""")
 def prefix_similarity(spark: SparkSession, sf: str) -> DataFrame:
     """Jaccard similarity of name parts of functions of a package with the same first part, from one half on."""
     s = symbols(v.src_lines(spark, sf)).filter(~F.col("path").startswith("tests/") & (F.col("stop") - F.col("start") > 7))

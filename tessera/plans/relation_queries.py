@@ -10,8 +10,6 @@ from tessera.operators import graph as g
 from tessera.plans.registry import query
 from tessera.sources import views as v
 
-ONE = F.lit(1)
-
 
 @query(f"WITH {v.G_EDGES} SELECT from_id, to_id, type, CASE WHEN from_id = 'nation:3' THEN 'out' ELSE 'in' END AS direction FROM g_edges WHERE from_id = 'nation:3' OR to_id = 'nation:3'")
 def edges_of_node(spark: SparkSession, sf: str) -> DataFrame:
@@ -25,7 +23,7 @@ SELECT id, arg_min(value, event_id) AS value, count(*) AS inserted FROM n GROUP
 def node_insert_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Of nodes inserted several times the first stays; edges would all stay."""
     n = v.table(spark, sf, "events").select(F.concat_ws(":", "event_type", "user_id").alias("id"), "event_id", "value")
-    return n.groupBy("id").agg(F.min_by("value", "event_id").alias("value"), F.count(ONE).alias("inserted"))
+    return n.groupBy("id").agg(F.min_by("value", "event_id").alias("value"), F.count(F.lit(1)).alias("inserted"))
 
 
 @query(f"WITH {v.G_NODES} SELECT id, score FROM g_nodes WHERE type = 'supplier' AND length(name) % 2 = 0 AND (score < 0 OR score > 5000)")
@@ -48,7 +46,7 @@ SELECT split_part(id, ':', 1) AS kind, CAST(min(depth) AS INTEGER) AS nearest, c
 def transitive_dependents(spark: SparkSession, sf: str) -> DataFrame:
     """All that depends on a region, however far, by kind."""
     near = g.closure(v.g_edges(spark, sf), spark.createDataFrame([("region:1",)], "id string"), "in")
-    return near.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("kind")).agg(F.min("depth").alias("nearest"), F.count(ONE).alias("n"))
+    return near.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("kind")).agg(F.min("depth").alias("nearest"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH RECURSIVE {v.S_EDGES}, walk AS (SELECT [from_id, to_id] AS path FROM s_edges WHERE from_id = 'signup' UNION ALL
@@ -108,7 +106,7 @@ UNION ALL SELECT 'region', count(DISTINCT 'region:' || n_regionkey), 2 FROM nati
 def longest_levels(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of the location graph by the length of the longest way to them."""
     found = g.levels(g.filter_edges(v.g_edges(spark, sf), ("located_in", "part_of")))
-    return found.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count(ONE).alias("n"), F.max("level").alias("level"))
+    return found.groupBy(F.split_part("id", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.max("level").alias("level"))
 
 
 @query("""WITH r AS (SELECT l_partkey AS symbol, l_orderkey AS file, l_linenumber AS line, l_linenumber = 1 AS is_definition FROM lineitem)
@@ -133,7 +131,7 @@ def findings_by_priority(spark: SparkSession, sf: str) -> DataFrame:
 SELECT id, round(impact, 2) AS impact, effort FROM s ORDER BY round(impact, 2) DESC, effort DESC, id LIMIT 20""")
 def refactoring_priority(spark: SparkSession, sf: str) -> DataFrame:
     """The twenty candidates of the greatest impact, then effort."""
-    s = v.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("impact"), F.count(ONE).alias("effort"))
+    s = v.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.round(F.sum("l_extendedprice"), 2).alias("impact"), F.count(F.lit(1)).alias("effort"))
     return s.orderBy(F.desc("impact"), F.desc("effort"), "id").limit(20)
 
 
@@ -141,7 +139,7 @@ def refactoring_priority(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, count(*) AS total, count(*) FILTER (WHERE stale) AS stale, round(1 - count(*) FILTER (WHERE stale) / greatest(count(*), 1), 6) AS hit_rate FROM i GROUP BY user_id""")
 def index_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Entries, stale ones and hit rate of each index."""
-    e = v.table(spark, sf, "events").groupBy("user_id").agg(F.count(ONE).alias("total"), F.count_if(F.col("event_type") == "error").alias("stale"))
+    e = v.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("stale"))
     return e.withColumn("hit_rate", F.round(1 - F.col("stale") / F.greatest("total", F.lit(1)), 6))
 
 
@@ -150,13 +148,13 @@ def streaming_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Calls by method and kind of streaming, derived from two flags."""
     client, server = F.col("user_id") % 4 >= 2, F.col("user_id") % 2 == 1
     kind = F.when(client & server, "bidirectional").when(client, "client_stream").when(server, "server_stream").otherwise("unary")
-    return v.table(spark, sf, "events").groupBy(F.col("event_type").alias("method"), kind.alias("kind")).agg(F.count(ONE).alias("n"))
+    return v.table(spark, sf, "events").groupBy(F.col("event_type").alias("method"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {v.GOV} SELECT policy AS tool, count(*) FILTER (WHERE severity = 'CRITICAL') AS critical, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(*) FILTER (WHERE severity = 'MEDIUM') AS medium, count(*) FILTER (WHERE severity = 'LOW') AS low FROM gov GROUP BY policy""")
 def findings_by_tool(spark: SparkSession, sf: str) -> DataFrame:
     """Findings of each tool by severity, side by side (A27): one pivot with known values."""
-    p = v.gov(spark, sf).groupBy(F.col("policy").alias("tool")).pivot("severity", ["CRITICAL", "HIGH", "MEDIUM", "LOW"]).agg(F.count(ONE))
+    p = v.gov(spark, sf).groupBy(F.col("policy").alias("tool")).pivot("severity", ["CRITICAL", "HIGH", "MEDIUM", "LOW"]).agg(F.count(F.lit(1)))
     return p.select("tool", *(F.coalesce(c, F.lit(0).cast("long")).alias(c.lower()) for c in ("CRITICAL", "HIGH", "MEDIUM", "LOW")))
 
 
@@ -212,7 +210,7 @@ def license_risk(spark: SparkSession, sf: str) -> DataFrame:
     own = F.element_at(F.array(*map(F.lit, _LICENSES)), (F.col("p_partkey") % 7 + 1).cast("int"))
     weak, strong, free = own.rlike("(?i)^LGPL|MPL|EPL"), own.rlike("(?i)^A?GPL"), own.rlike("(?i)MIT|Apache|BSD|ISC")
     risk = F.when(strong, "high").when(weak, "medium").when(free, "low").otherwise("unknown")
-    return v.table(spark, sf, "part").groupBy(own.alias("license"), risk.alias("risk")).agg(F.count(ONE).alias("packages"))
+    return v.table(spark, sf, "part").groupBy(own.alias("license"), risk.alias("risk")).agg(F.count(F.lit(1)).alias("packages"))
 
 
 @query("""WITH o AS (SELECT p_partkey AS id, (p_size * 2) / 10.0 AS cvss, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_size END AS fixed FROM part)
@@ -234,7 +232,7 @@ def topology_violations(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame([("customer", "supplier", "no_direct_supply"), ("order", "supplier", "ship_through_parts"), ("supplier", "nation", "no_location")], "source string, target string, rule string")
     kind = lambda c: F.split_part(c, F.lit(":"), F.lit(1))
     found = v.g_edges(spark, sf).join(F.broadcast(rules), (kind("from_id") == F.col("source")) & (kind("to_id") == F.col("target")))
-    return found.groupBy("rule").agg(F.count(ONE).alias("violations"), F.countDistinct("from_id").alias("sources"))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"), F.countDistinct("from_id").alias("sources"))
 
 
 @query("""WITH f AS (SELECT page_id, html, url FROM pages) SELECT page_id, regexp_matches(substr(coalesce(html, ''), 1, 300), '(?i)generat|do not edit|auto-?gen') AS generated,
