@@ -154,14 +154,15 @@ def top_k(vectors: DataFrame, path: str, every: int = 100, k: int = 10, scale: i
                     out[name].append(value)
         return pa.table({n: pa.array(v, pa.int64()) for n, v in out.items()})
 
+    rings = again.groupBy("part", "cell").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()  # by MOST_PARTS and the pivots
+    ring_part, ring_cell = (np.array([r[c] for r in rings], np.int64) for c in ("part", "cell"))
+    ring_low, ring_high = (np.array([r[c] for r in rings], float) for c in ("low", "high"))
+    parts = int(ring_part.max(initial=0)) + 1  # as dealt, which may be other than asked for
     queries = again.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "x"])  # equal rows lie in one part; a floor counts each once
     tile = (F.col("part").cast("long") * tiles / parts).cast("int").alias("tile")
     asked_by = queries.select(F.col("vec_id").alias("asker"), F.col("x").alias("q"), "part", tile)
     near = index.withColumn("tile", tile).groupBy("part", "tile").cogroup(asked_by.groupBy("part", "tile")).applyInArrow(search, kind)
     floors = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.sort_array(F.collect_list("score"), asc=False).getItem(k - 1)).otherwise(-(2**62)).alias("floor"))
-    rings = again.groupBy("part", "cell").agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()  # by MOST_PARTS and the pivots
-    ring_part, ring_cell = (np.array([r[c] for r in rings], np.int64) for c in ("part", "cell"))
-    ring_low, ring_high = (np.array([r[c] for r in rings], float) for c in ("low", "high"))
 
     def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
