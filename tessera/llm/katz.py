@@ -1,16 +1,23 @@
 """Katz backoff language model: Good-Turing discounted bigram counts with exactly normalised backoff weights.
 
-Words are 64-bit hashes. Counts of words and of word pairs, with the sums of each context, are tables in the shared folder,
-the pairs partitioned by a hash of the context. A token's probability is evaluated recursively: the discounted share of its
-pair if the pair is known, else the backoff weight of its context times its probability as a word; an unknown word shares
-the mass that discounting leaves, as one type. Documents enter as rows (row, w1, w2, n) of distinct pairs.
+Words are 64-bit hashes; that two words share one is ruled out by odds only (one pair among 10^9 words expects 0.03 of them).
+Every context, with all that follows it, belongs to one part, by its hash. Contexts of more than a part's share of the
+learned tokens are dealt over all parts by the word that follows; there are at most as many of them as parts.
+
+Tables in the shared folder, each written once: words with their counts; pairs, packed by part, with the words that each
+part asks for; the model by part, which holds the pairs' counts, the counts of the words asked for, and each context's
+denominator and backoff weight. A token's probability is evaluated recursively: the discounted share of its pair if the pair
+is known, else the backoff weight of its context times its probability as a word; an unknown word shares the mass that
+discounting leaves, as one type.
+
+Texts are taken in blocks of about `tokens` tokens. A block sends its distinct pairs to each part as one packed row, sorted
+and coded against its own words; a part adds its share to each text and sends back one row a text and block.
 
 Discounts follow Katz for counts up to 5; where the counts of counts do not allow that, half a count is taken off. A context
 whose pairs are all above 5 gives half a count in its denominator, so that each context's probabilities add up to 1.
 
 Defined cases: null texts are empty and consist of the end token only; repeated rows each count and each get their score; a
-null id is learned from and not held out; with nothing to learn from, words are unknown and share all mass; other columns
-are ignored.
+null learn flag is no; with nothing to learn from, words are unknown and share all mass; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,49 +27,135 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import released, stored
 
 HIGHEST = 5  # counts above are not discounted
-START, END = (xxhash.xxh3_64_intdigest(x) - 2**63 for x in (b" start", b" end"))  # no words: they hold a blank
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word) - 2**63
-        return value
-
-
-def pairs_of(docs: DataFrame) -> DataFrame:
-    """row, w1, w2 and n of the distinct word pairs of each text, whose first context is the start and last word the end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
-        for batch in batches:
-            held: list[list[np.ndarray]] = [[], [], [], []]
-            size = 0
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                words = (text.as_py() or "").encode().lower().split()
-                w2 = np.fromiter((known[w] for w in words), np.int64, len(words))
-                w2 = np.append(w2, END)
-                w1 = np.append(START, w2[:-1])
-                order = np.lexsort((w2, w1))
-                w1, w2 = w1[order], w2[order]
-                first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-                for column, values in zip(held, (np.full(len(first), row, np.int64), w1[first], w2[first], np.diff(np.append(first, len(w1)))), strict=True):
-                    column.append(values)
-                size += len(first)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], ["row", "w1", "w2", "n"])
-                    held, size = [[], [], [], []], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in held], ["row", "w1", "w2", "n"])
-
-    return docs.select("row", "text").mapInArrow(run, "row long, w1 long, w2 long, n long")
+END, START = (xxhash.xxh3_64_intdigest(x) - 2**63 for x in (b" end", b" start"))  # no words: they hold a blank
+PAIRS, ASKED, COUNTED, MODEL, SPREAD, TEXT = range(6)  # kinds of rows
+ROW = "part int, kind int, w long, c long, x double, y double, data binary"
+SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("w", pa.int64()), ("c", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("data", pa.binary())])
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 8-byte values as compressed byte planes, the integers as differences."""
+    planes = [np.array([len(arrays), *map(len, arrays), *(a.dtype.kind == "f" for a in arrays)], np.int64).tobytes()]
+    for a in arrays:
+        a = a.view(np.int64) if a.dtype.kind == "f" else np.diff(a.astype(np.int64, copy=False), prepend=np.int64(0))
+        planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """What pack() was given."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 1 + 2 * n)
+    out, at = [], head.nbytes
+    for size, real in zip(head[1 : n + 1].tolist(), head[n + 1 :].tolist(), strict=True):
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T).view(np.int64).reshape(size)
+        out.append(a.view(np.float64) if real else np.cumsum(a))
+        at += 8 * size
+    return out
+
+
+def _rows(n: int, **columns: object) -> pa.RecordBatch:
+    """n rows of SCHEMA; columns not given are null."""
+    full = lambda v, t: pa.array(v, t) if isinstance(v, (np.ndarray, list)) else pa.array([v] * n, t)
+    return pa.RecordBatch.from_arrays([full(columns.get(f.name), f.type) for f in SCHEMA], schema=SCHEMA)
+
+
+class _Block:
+    """Tokens of some texts: distinct word hashes in order, and for each token its text, context and word by place."""
+
+    def __init__(self, texts: list[list[bytes]], learn: list[bool]) -> None:
+        known: dict[bytes, int] = {}
+        flat = np.fromiter((known.setdefault(w, len(known)) for words in texts for w in words), np.int64)
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in known), np.int64, len(known))
+        hashes = np.append(hashes, [END, START])
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(sizes + 1) - 1
+        word = np.full(len(flat) + len(texts), len(known), np.int64)
+        inside = np.ones(len(word), bool)
+        inside[ends] = False
+        word[inside] = flat
+        context = np.roll(word, 1)
+        context[ends - sizes] = len(known) + 1
+        order = np.argsort(hashes)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.hashes, self.word, self.context = hashes[order], place[word], place[context]
+        self.text = np.repeat(np.arange(len(texts)), sizes + 1)
+        self.learn = np.repeat(np.array(learn, bool), sizes + 1)
+
+    def packed(self, parts: int, spread: np.ndarray, by_text: bool, base: int) -> Iterator[pa.RecordBatch]:
+        """One row a part: its distinct pairs with their learned counts, or with their texts and counts in each."""
+        of = self.hashes % parts
+        part = np.where(np.isin(self.hashes, spread)[self.context], of[self.word], of[self.context])
+        size = len(self.hashes)
+        key = (part * size + self.context) * size + self.word
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        if by_text:
+            text = self.text[order]
+            own = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (text[1:] != text[:-1])])  # texts of a pair
+            n, text = np.diff(np.append(own, len(key))), text[own]
+            start = np.append(np.searchsorted(own, first), len(own))
+        else:
+            n = np.add.reduceat(self.learn[order].astype(np.int64), first)
+        pair = key[first]
+        edges = np.searchsorted(pair, np.arange(parts + 1) * size * size)
+        ids, rows = np.flatnonzero(np.diff(edges)), []
+        for p in ids.tolist():
+            a, b = edges[p], edges[p + 1]
+            w1, w2 = np.divmod(pair[a:b] - p * size * size, size)
+            heads = np.flatnonzero(np.r_[True, w1[1:] != w1[:-1]])
+            words, place = np.unique(w2, return_inverse=True)
+            arrays = [self.hashes[w1[heads]], np.diff(np.append(heads, b - a)), self.hashes[words], place]
+            if by_text:
+                s, e = start[a], start[b]
+                arrays += [np.diff(start[a : b + 1]), text[s:e], n[s:e], np.array([base])]
+            else:
+                arrays.append(n[a:b])
+            rows.append(pack(*arrays))
+        yield _rows(len(ids), part=ids, kind=PAIRS, data=rows)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[_Block, list, list]]:
+    """Blocks of texts with their keys and learn flags."""
+    texts, keys, learn, size = [], [], [], 0
+    for batch in batches:
+        for key, flag, text in zip(batch.column("key"), batch.column("learn"), batch.column("text"), strict=True):
+            texts.append((text.as_py() or "").encode().lower().split())
+            keys.append(key.as_py())
+            learn.append(bool(flag.as_py()))
+            size += len(texts[-1]) + 1
+            if size >= tokens:
+                yield _Block(texts, learn), keys, learn
+                texts, keys, learn, size = [], [], [], 0
+    if texts:
+        yield _Block(texts, learn), keys, learn
+
+
+def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Context and word hashes of the pairs in a packed row, and what follows them."""
+    heads, runs, words, place, *more = unpack(data)
+    return np.repeat(heads, runs), words[place], more
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, in order, with the sums of their counts."""
+    cut = [_split(x.as_py()) for x in table.column("data")]
+    h1, h2, n = (np.concatenate(c) if cut else np.zeros(0, np.int64) for c in zip(*((a, b, m[0]) for a, b, m in cut), strict=True))
+    order = np.lexsort((h2, h1))
+    h1, h2 = h1[order], h2[order]
+    first = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+    return h1[first], h2[first], np.add.reduceat(n[order], first)
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -76,50 +169,160 @@ def discounts(counts: dict[int, int]) -> list[float]:
     return out
 
 
-def _counts_of_counts(table: DataFrame, count: str) -> dict[int, int]:
-    return {r[0]: r[1] for r in table.filter(F.col(count) <= HIGHEST + 1).groupBy(count).count().collect()}
-
-
 def _discounted(count: Column, factors: list[float]) -> Column:
     table = F.array(*(F.lit(f) for f in factors))
     return F.when(count <= HIGHEST, count * F.element_at(table, F.least(count, F.lit(HIGHEST)).cast("int"))).otherwise(count.cast("double"))
 
 
+def _mass(count: np.ndarray, factors: list[float]) -> np.ndarray:
+    return count * np.array([0.0, *factors, 1.0])[np.minimum(count, HIGHEST + 1)]
+
+
+def _weights(total: np.ndarray, kept: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Denominators and backoff weights of contexts from the sums over their pairs."""
+    den = total + np.where(kept >= total, 0.5, 0.0)
+    return den, (1 - kept / den) / (1 - known)
+
+
 class Model:
-    """words (w, c, p), pairs (w1, w2, mass) and contexts (w1, den, alpha), with N, V and the mass of an unknown word."""
-
-    def __init__(self, pairs: DataFrame, path: str, parts: int = 16) -> None:
-        spark = pairs.sparkSession
-        counted = pairs.groupBy("w1", "w2").agg(F.sum("n").alias("r")).withColumn("part", F.pmod("w1", F.lit(parts)).cast("int"))
-        counted.write.mode("overwrite").partitionBy("part").parquet(f"{path}/pair_counts")
-        counted = spark.read.schema("w1 long, w2 long, r long, part int").parquet(f"{path}/pair_counts").drop("part")
-        words = stored(counted.groupBy(F.col("w2").alias("w")).agg(F.sum("r").alias("c")), f"{path}/word_counts")
+    """Learned from the rows of docs (key long, learn boolean, text string) with learn set; scores all of them."""
+
+    def __init__(self, docs: DataFrame, path: str, tokens: int = 3_000_000) -> None:
+        self.docs, self.block = docs.select("key", F.coalesce("learn", F.lit(False)).alias("learn"), "text"), tokens
+        spark = docs.sparkSession
+        self.parts = parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, _, _ in _blocks(batches, tokens):
+                n = np.bincount(block.word, minlength=len(block.hashes))
+                yield pa.RecordBatch.from_arrays([pa.array(block.hashes[n > 0]), pa.array(n[n > 0])], ["w", "c"])
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            with released(spark):
+                return stored(df, f"{path}/{name}")
+
+        counted = self.docs.filter("learn").mapInArrow(count, "w long, c long")
+        words = keep(counted.groupBy("w").agg(F.sum("c").alias("c")), "words")
         self.tokens, self.types = (x or 0 for x in words.agg(F.sum("c"), F.count(F.lit(1))).first())
-        total = max(self.tokens, 1)
-        factors = discounts(_counts_of_counts(words, "c"))
+        factors = discounts({r[0]: r[1] for r in words.filter(F.col("c") <= HIGHEST + 1).groupBy("c").count().collect()})
         kept = words.agg(F.sum(_discounted(F.col("c"), factors))).first()[0] or 0.0
         short = 0.5 if kept >= self.tokens and self.tokens else 0.0
-        self.unknown = 1 - kept / (total + short)
-        self.words = words.withColumn("p", _discounted(F.col("c"), factors) / (total + short))
-        factors = discounts(_counts_of_counts(counted, "r"))
-        self.pairs = counted.withColumn("mass", _discounted(F.col("r"), factors))
-        own = self.pairs.join(self.words.select(F.col("w").alias("w2"), "p"), "w2")
-        sums = own.groupBy("w1").agg(F.sum("r").alias("total"), F.sum("mass").alias("kept"), F.sum("p").alias("known"))
-        den = F.col("total") + F.when(F.col("kept") >= F.col("total"), 0.5).otherwise(0.0)
-        contexts = sums.withColumn("den", den).withColumn("alpha", (1 - F.col("kept") / F.col("den")) / (1 - F.col("known")))
-        self.contexts = stored(contexts.select("w1", "den", "alpha"), f"{path}/contexts")
-
-    def score(self, pairs: DataFrame) -> DataFrame:
-        """row, n_tokens, n_known, base_score and score (both log10) of the pairs' texts."""
-        base_den = self.tokens + 0.5 * (self.types + 1)
-        found = pairs.join(self.pairs.select("w1", "w2", "mass"), ["w1", "w2"], "left")
-        found = found.join(self.contexts, "w1", "left").join(self.words.select(F.col("w").alias("w2"), "c", "p"), "w2", "left")
-        word = F.coalesce("p", F.lit(self.unknown))
-        chance = F.when(F.col("mass").isNotNull(), F.col("mass") / F.col("den")).otherwise(F.coalesce("alpha", F.lit(1.0)) * word)
-        n = F.col("n")
-        return found.groupBy("row").agg(
-            F.sum(n).alias("n_tokens"),
-            F.sum(F.when(F.col("c") > 0, n).otherwise(0)).alias("n_known"),
-            F.sum(n * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / base_den)).alias("base_score"),
-            F.sum(n * F.log10(chance)).alias("score"),
-        )
+        self.word_factors, self.word_den = factors, max(self.tokens, 1) + short
+        self.unknown = 1 - kept / self.word_den
+        # a word is a context once for each time that it stands; the start stands once a text and is always dealt out
+        often = words.filter(F.col("c") * parts > self.tokens).select("w").collect()
+        self.spread = spread = np.array([START, *(r.w for r in often if r.w != END)], np.int64)
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, _, _ in _blocks(batches, tokens):
+                yield from block.packed(parts, spread, False, 0)
+
+        def gather(key: tuple, table: pa.Table) -> pa.Table:
+            h1, h2, n = _merged(table)
+            asked, place = np.unique(h2, return_inverse=True)
+            seen = n > 0
+            h1, place, n = h1[seen], place[seen], n[seen]
+            heads = np.flatnonzero(np.r_[True, h1[1:] != h1[:-1]])[: len(h1)]
+            data = pack(h1[heads], np.diff(np.append(heads, len(h1))), asked, place, n)
+            few = np.bincount(n[n <= HIGHEST + 1], minlength=HIGHEST + 2)
+            part = key[0].as_py()
+            return pa.Table.from_batches([
+                _rows(1, part=part, kind=PAIRS, data=[data]),
+                _rows(len(asked), part=part, kind=ASKED, w=asked),
+                _rows(len(few), part=part, kind=COUNTED, w=np.arange(len(few)), c=few),
+            ])
+
+        pairs = keep(self.docs.mapInArrow(send, ROW).groupBy("part").applyInArrow(gather, ROW), "pairs")
+        counts = pairs.filter(F.col("kind") == COUNTED).groupBy("w").agg(F.sum("c").alias("c")).collect()
+        self.pair_factors = discounts({r.w: r.c for r in counts if r.w})
+        asked = pairs.filter(F.col("kind") == ASKED).select("part", "w").join(words, "w", "left")
+        asked = asked.select("part", F.lit(ASKED).alias("kind"), "w", F.coalesce("c", F.lit(0)).alias("c"), F.lit(None).cast("binary").alias("data"))
+        own = pairs.filter(F.col("kind") == PAIRS).select("part", "kind", "w", "c", "data")
+        pair_factors, chance = self.pair_factors, self._words()
+
+        def weigh(key: tuple, table: pa.Table) -> pa.Table:
+            kind = table.column("kind").to_numpy()
+            w, c = (table.column(x).filter(pa.array(kind == ASKED)).to_numpy() for x in ("w", "c"))
+            order = np.argsort(w)
+            w, c = w[order], c[order]
+            heads, runs, _, place, n = unpack(table.column("data").filter(pa.array(kind == PAIRS))[0].as_py())
+            starts = np.cumsum(runs) - runs
+            sums = [np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (n.astype(float), _mass(n, pair_factors), chance(c[place]))]
+            dealt = np.isin(heads, spread)
+            with np.errstate(divide="ignore", invalid="ignore"):  # the sums of contexts that are dealt out are not whole
+                den, alpha = _weights(*sums)
+            part = key[0].as_py()
+            return pa.Table.from_batches([
+                _rows(1, part=part, kind=MODEL, data=[pack(heads, runs, w, place, n, c, den, alpha)]),
+                _rows(int(dealt.sum()), part=part, kind=SPREAD, w=heads[dealt], c=sums[0][dealt].astype(np.int64), x=sums[1][dealt], y=sums[2][dealt]),
+            ])
+
+        self.table = keep(own.unionByName(asked).groupBy("part").applyInArrow(weigh, ROW), "model")
+        dealt = self.table.filter(F.col("kind") == SPREAD).groupBy("w").agg(F.sum("c").alias("c"), F.sum("x").alias("x"), F.sum("y").alias("y")).orderBy("w").collect()
+        total, kept, known = (np.array([r[k] for r in dealt], float) for k in ("c", "x", "y"))
+        self.dealt = (np.array([r.w for r in dealt], np.int64), *_weights(total, kept, known))
+
+    def _words(self):
+        """A function from counts of words to their probabilities."""
+        factors, den, unknown = self.word_factors, self.word_den, self.unknown
+        return lambda c: np.where(c > 0, _mass(c, factors) / den, unknown)
+
+    def score(self) -> DataFrame:
+        """key, learn, n_tokens, n_known, base_score and score (both log10) of each row of docs."""
+        parts, tokens, spread, chance, pair_factors = self.parts, self.block, self.spread, self._words(), self.pair_factors
+        base_den, (more, more_den, more_alpha) = self.tokens + 0.5 * (self.types + 1), self.dealt
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base = TaskContext.get().partitionId() << 40
+            for block, keys, learn in _blocks(batches, tokens):
+                ids = base + np.arange(len(keys))
+                yield _rows(len(keys), part=ids % parts, kind=TEXT, w=ids, c=pa.array(keys, pa.int64()).to_pylist(), x=np.array(learn, float))
+                yield from block.packed(parts, spread, True, base)
+                base += len(keys)
+
+        out = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+        def add(key: tuple, table: pa.Table) -> pa.Table:
+            kind = table.column("kind").to_numpy()
+            texts = table.filter(pa.array(kind == TEXT))
+            n = len(texts)
+            done = [pa.RecordBatch.from_arrays([
+                texts.column("w").combine_chunks(), texts.column("c").combine_chunks(), pa.array(texts.column("x").to_numpy() > 0, pa.bool_()),
+                *(pa.array(np.zeros(n, t)) for t in (np.int64, np.int64, float, float)),
+            ], schema=out)]
+            model = table.column("data").filter(pa.array(kind == MODEL))
+            if not len(model):
+                return pa.Table.from_batches(done)
+            heads, runs, words, place, r, c, den, alpha = unpack(model[0].as_py())
+            pair = np.repeat(np.arange(len(heads)), runs) * len(words) + place
+            mass, base = _mass(r, pair_factors), np.log10((c + 0.5) / base_den)
+            p = chance(c)
+            for data in table.column("data").filter(pa.array(kind == PAIRS)):
+                own, size, asked, at, several, text, m, first = unpack(data.as_py())
+                w = np.searchsorted(words, asked)[at]
+                h = np.searchsorted(heads, own)
+                there = np.zeros(len(own), bool) if not len(heads) else heads[np.minimum(h, len(heads) - 1)] == own
+                h = np.where(there, h, 0)
+                own_den, own_alpha = (den[h], np.where(there, alpha[h], 1.0)) if len(heads) else (np.ones(len(own)), np.ones(len(own)))
+                if len(more):
+                    k = np.minimum(np.searchsorted(more, own), len(more) - 1)
+                    own_den, own_alpha = (np.where(more[k] == own, a[k], b) for a, b in ((more_den, own_den), (more_alpha, own_alpha)))
+                h, there, own_den, own_alpha = (np.repeat(x, size) for x in (h, there, own_den, own_alpha))
+                wanted = h * len(words) + w
+                k = np.minimum(np.searchsorted(pair, wanted), max(len(pair) - 1, 0))
+                seen = there & (pair[k] == wanted) if len(pair) else there
+                share = np.where(seen, mass[k] / own_den, 0.0) if len(pair) else np.zeros(len(w))
+                score = np.log10(np.where(seen, share, own_alpha * p[w]))
+                n_of = lambda x: np.bincount(text, np.repeat(x, several) * m)  # noqa: B023, E731
+                count = np.bincount(text, m)
+                ids = np.flatnonzero(count)
+                done.append(pa.RecordBatch.from_arrays([
+                    pa.array(ids + first[0]), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.bool_()), pa.array(count[ids].astype(np.int64)),
+                    pa.array(n_of(c[w] > 0)[ids].astype(np.int64)), pa.array(n_of(base[w])[ids]), pa.array(n_of(score)[ids]),
+                ], schema=out))
+            return pa.Table.from_batches(done)
+
+        sent = self.docs.mapInArrow(send, ROW).unionByName(self.table.filter(F.col("kind") == MODEL))
+        shares = sent.groupBy("part").applyInArrow(add, "row long, key long, learn boolean, n_tokens long, n_known long, base_score double, score double")
+        sums = (F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score"))
+        return shares.groupBy("row").agg(F.max("key").alias("key"), F.max("learn").alias("learn"), *sums).drop("row")

@@ -121,11 +121,9 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz bigram scores of every text, learned from the texts outside fold 1 of 5."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
     held_out = F.coalesce(fold("doc_id", 5) == 1, F.lit(False))
-    model = katz.Model(katz.pairs_of(docs.filter(~held_out)), shared_dir(spark) + "/katz")
-    scores = model.score(katz.pairs_of(docs)).withColumnRenamed("row", "r")
-    own = docs.select("doc_id", held_out.alias("held_out"), "row")
-    return own.join(scores, F.col("row") == F.col("r")).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), (~held_out).alias("learn"), "text")
+    model = katz.Model(docs, shared_dir(spark) + "/katz")
+    return model.score().select(
+        F.col("key").alias("doc_id"), (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
