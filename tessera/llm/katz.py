@@ -5,8 +5,8 @@ Every context, with all that follows it, belongs to one part, by its hash. Conte
 learned tokens are dealt over all parts by the word that follows; there are at most as many of them as parts.
 
 Tables in the shared folder, each written once: words with their counts; pairs, packed by part, with the words that each
-part asks for; the model by part, which holds the pairs' counts, the counts of the words asked for, and each context's
-denominator and backoff weight. A token's probability is evaluated recursively: the discounted share of its pair if the pair
+part asks for, until the model stands; the model by part, which holds the pairs' counts, the counts of the words asked for,
+and each context's denominator and backoff weight. A token's probability is evaluated recursively: the discounted share of its pair if the pair
 is known, else the backoff weight of its context times its probability as a word; an unknown word shares the mass that
 discounting leaves, as one type.
 
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import released, stored
+from tessera.llm.common import discard, released, stored
 
 HIGHEST = 5  # counts above are not discounted
 END, START = (xxhash.xxh3_64_intdigest(x) - 2**63 for x in (b" end", b" start"))  # no words: they hold a blank
@@ -42,10 +42,12 @@ SCHEMA = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("w", pa.int64()
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of 8-byte values as compressed byte planes, the integers as differences."""
-    planes = [np.array([len(arrays), *map(len, arrays), *(a.dtype.kind == "f" for a in arrays)], np.int64).tobytes()]
-    for a in arrays:
-        a = a.view(np.int64) if a.dtype.kind == "f" else np.diff(a.astype(np.int64, copy=False), prepend=np.int64(0))
+    """Arrays of 8-byte values as compressed byte planes, integers in order as differences."""
+    forms = [2 if a.dtype.kind == "f" else int((a[1:] >= a[:-1]).all()) for a in arrays]
+    planes = [np.array([len(arrays), *map(len, arrays), *forms], np.int64).tobytes()]
+    for a, form in zip(arrays, forms, strict=True):
+        a = a.view(np.int64) if form == 2 else a.astype(np.int64, copy=False)
+        a = np.diff(a, prepend=np.int64(0)) if form == 1 else a
         planes.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8).T).tobytes())
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
@@ -56,9 +58,9 @@ def unpack(data: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(raw, np.int64, 1)[0])
     head = np.frombuffer(raw, np.int64, 1 + 2 * n)
     out, at = [], head.nbytes
-    for size, real in zip(head[1 : n + 1].tolist(), head[n + 1 :].tolist(), strict=True):
+    for size, form in zip(head[1 : n + 1].tolist(), head[n + 1 :].tolist(), strict=True):
         a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size).T).view(np.int64).reshape(size)
-        out.append(a.view(np.float64) if real else np.cumsum(a))
+        out.append(a.view(np.float64) if form == 2 else np.cumsum(a) if form == 1 else a)
         at += 8 * size
     return out
 
@@ -72,9 +74,9 @@ def _rows(n: int, **columns: object) -> pa.RecordBatch:
 class _Block:
     """Tokens of some texts: distinct word hashes in order, and for each token its text, context and word by place."""
 
-    def __init__(self, texts: list[list[bytes]], learn: list[bool]) -> None:
-        known: dict[bytes, int] = {}
-        flat = np.fromiter((known.setdefault(w, len(known)) for words in texts for w in words), np.int64)
+    def __init__(self, known: dict[bytes, int], texts: list[np.ndarray], learn: list[bool]) -> None:
+        """known: each word's place in order of appearance; texts: the places of their words."""
+        flat = np.concatenate(texts)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) - 2**63 for w in known), np.int64, len(known))
         hashes = np.append(hashes, [END, START])
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -128,18 +130,19 @@ class _Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[_Block, list, list]]:
     """Blocks of texts with their keys and learn flags."""
-    texts, keys, learn, size = [], [], [], 0
+    known, texts, keys, learn, size = {}, [], [], [], 0
     for batch in batches:
         for key, flag, text in zip(batch.column("key"), batch.column("learn"), batch.column("text"), strict=True):
-            texts.append((text.as_py() or "").encode().lower().split())
+            words = (text.as_py() or "").encode().lower().split()
+            texts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
             keys.append(key.as_py())
             learn.append(bool(flag.as_py()))
             size += len(texts[-1]) + 1
             if size >= tokens:
-                yield _Block(texts, learn), keys, learn
-                texts, keys, learn, size = [], [], [], 0
+                yield _Block(known, texts, learn), keys, learn
+                known, texts, keys, learn, size = {}, [], [], [], 0
     if texts:
-        yield _Block(texts, learn), keys, learn
+        yield _Block(known, texts, learn), keys, learn
 
 
 def _split(data: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -187,7 +190,7 @@ def _weights(total: np.ndarray, kept: np.ndarray, known: np.ndarray) -> tuple[np
 class Model:
     """Learned from the rows of docs (key long, learn boolean, text string) with learn set; scores all of them."""
 
-    def __init__(self, docs: DataFrame, path: str, tokens: int = 3_000_000) -> None:
+    def __init__(self, docs: DataFrame, path: str, tokens: int = 1_500_000) -> None:
         self.docs, self.block = docs.select("key", F.coalesce("learn", F.lit(False)).alias("learn"), "text"), tokens
         spark = docs.sparkSession
         self.parts = parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -258,6 +261,7 @@ class Model:
             ])
 
         self.table = keep(own.unionByName(asked).groupBy("part").applyInArrow(weigh, ROW), "model")
+        discard(spark, f"{path}/pairs")  # the model holds all of it
         dealt = self.table.filter(F.col("kind") == SPREAD).groupBy("w").agg(F.sum("c").alias("c"), F.sum("x").alias("x"), F.sum("y").alias("y")).orderBy("w").collect()
         total, kept, known = (np.array([r[k] for r in dealt], float) for k in ("c", "x", "y"))
         self.dealt = (np.array([r.w for r in dealt], np.int64), *_weights(total, kept, known))
