@@ -11,7 +11,7 @@ is known, else the backoff weight of its context times its probability as a word
 discounting leaves, as one type.
 
 Texts are taken in blocks of about `tokens` tokens. A block sends its distinct pairs to each part as one packed row, sorted
-and coded against its own words; a part adds its share to each text and sends back one row a text and block.
+and coded against its own words; a part sends back its shares of the block's texts as one packed row, and they are added up.
 
 Discounts follow Katz for counts up to 5; where the counts of counts do not allow that, half a count is taken off. A context
 whose pairs are all above 5 gives half a count in its denominator, so that each context's probabilities add up to 1.
@@ -279,24 +279,20 @@ class Model:
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = TaskContext.get().partitionId() << 40
             for block, keys, learn in _blocks(batches, tokens):
-                ids = base + np.arange(len(keys))
-                yield _rows(len(keys), part=ids % parts, kind=TEXT, w=ids, c=pa.array(keys, pa.int64()).to_pylist(), x=np.array(learn, float))
+                null = np.array([k is None for k in keys])
+                told = pack(np.array([k or 0 for k in keys], np.int64), null.astype(np.int64), np.array(learn, np.int64))
+                yield _rows(1, part=base % parts, kind=TEXT, w=base, data=[told])
                 yield from block.packed(parts, spread, True, base)
                 base += len(keys)
 
-        out = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
         def add(key: tuple, table: pa.Table) -> pa.Table:
             kind = table.column("kind").to_numpy()
             texts = table.filter(pa.array(kind == TEXT))
-            n = len(texts)
-            done = [pa.RecordBatch.from_arrays([
-                texts.column("w").combine_chunks(), texts.column("c").combine_chunks(), pa.array(texts.column("x").to_numpy() > 0, pa.bool_()),
-                *(pa.array(np.zeros(n, t)) for t in (np.int64, np.int64, float, float)),
-            ], schema=out)]
+            blocks, rows = texts.column("w").to_pylist(), texts.column("data").to_pylist()
+            kinds = [TEXT] * len(rows)
             model = table.column("data").filter(pa.array(kind == MODEL))
             if not len(model):
-                return pa.Table.from_batches(done)
+                return pa.Table.from_batches([_rows(len(rows), kind=kinds, w=blocks, data=rows)])
             heads, runs, words, place, r, c, den, alpha = unpack(model[0].as_py())
             pair = np.repeat(np.arange(len(heads)), runs) * len(words) + place
             mass, base = _mass(r, pair_factors), np.log10((c + 0.5) / base_den)
@@ -320,13 +316,22 @@ class Model:
                 n_of = lambda x: np.bincount(text, np.repeat(x, several) * m)  # noqa: B023, E731
                 count = np.bincount(text, m)
                 ids = np.flatnonzero(count)
-                done.append(pa.RecordBatch.from_arrays([
-                    pa.array(ids + first[0]), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.bool_()), pa.array(count[ids].astype(np.int64)),
-                    pa.array(n_of(c[w] > 0)[ids].astype(np.int64)), pa.array(n_of(base[w])[ids]), pa.array(n_of(score)[ids]),
-                ], schema=out))
-            return pa.Table.from_batches(done)
+                blocks.append(int(first[0]))
+                kinds.append(PAIRS)
+                rows.append(pack(ids, count[ids].astype(np.int64), n_of(c[w] > 0)[ids].astype(np.int64), n_of(base[w])[ids], n_of(score)[ids]))
+            return pa.Table.from_batches([_rows(len(rows), kind=kinds, w=blocks, data=rows)])
+
+        def total(key: tuple, table: pa.Table) -> pa.Table:
+            kind = table.column("kind").to_numpy()
+            keys, null, learn = unpack(table.column("data").filter(pa.array(kind == TEXT))[0].as_py())
+            sums = [np.zeros(len(keys), t) for t in (np.int64, np.int64, float, float)]
+            for data in table.column("data").filter(pa.array(kind == PAIRS)):
+                ids, *shares = unpack(data.as_py())
+                for whole, share in zip(sums, shares, strict=True):
+                    whole[ids] += share
+            names = ["key", "learn", "n_tokens", "n_known", "base_score", "score"]
+            return pa.table([pa.array(keys, mask=null > 0), pa.array(learn > 0), *map(pa.array, sums)], names)
 
         sent = self.docs.mapInArrow(send, ROW).unionByName(self.table.filter(F.col("kind") == MODEL))
-        shares = sent.groupBy("part").applyInArrow(add, "row long, key long, learn boolean, n_tokens long, n_known long, base_score double, score double")
-        sums = (F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score"))
-        return shares.groupBy("row").agg(F.max("key").alias("key"), F.max("learn").alias("learn"), *sums).drop("row")
+        shares = sent.groupBy("part").applyInArrow(add, ROW)
+        return shares.groupBy("w").applyInArrow(total, "key long, learn boolean, n_tokens long, n_known long, base_score double, score double")
