@@ -1,4 +1,5 @@
-"""Queries over embedded source snippets, which the driver tables do not hold; rows only, without SQL twins."""
+"""Queries over embedded source snippets, which the driver tables do not hold: their SQL twins are the rows that follow from
+reading the three snippets, and no tests of scale. And signatures over events."""
 
 from __future__ import annotations
 
@@ -17,23 +18,30 @@ SNIPPETS = (
 KEY = b"audit"
 
 
+def _hmac_sql(payload: str) -> str:
+    """SQL for the HMAC-SHA256 of a text under KEY, which is shorter than a block."""
+    inner, outer = (bytes(b ^ mask for b in KEY.ljust(signing.BLOCK, b"\0")).hex() for mask in (0x36, 0x5C))
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({payload}))))"
+
+
 def _snippets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SNIPPETS, "path string, text string")
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('routes.py', 'get_user', 'request.args.get', 2), ('routes.py', 'get_user', 'execute_query', 3),
+('db.py', 'execute_query', 'cursor.execute', 3)) t(path, caller, callee, line)""")
 def python_ast_calls(spark: SparkSession, sf: str) -> DataFrame:
     """Calls by scope."""
     return parsing.python_calls(_snippets(spark))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('routes.py', 'user_id', 2, 3), ('db.py', 'sql', 2, 3), ('db.py', 'sql', 2, 4)) t(path, name, def_line, use_line)")
 def pdg_edges_udtf(spark: SparkSession, sf: str) -> DataFrame:
     """Data-dependency edges."""
     return parsing.def_use_edges(_snippets(spark))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('cursor.execute', 0), ('execute_query', 1), ('get_user', 2)) t(id, depth)")
 def cross_file_taint(spark: SparkSession, sf: str) -> DataFrame:
     """Functions that reach a SQL sink through calls over files, with their depth."""
     from tessera.operators import graph as g
@@ -42,7 +50,8 @@ def cross_file_taint(spark: SparkSession, sf: str) -> DataFrame:
     return g.traverse(calls, spark.createDataFrame([("cursor.execute",)], "id string"), 3, "in")
 
 
-@query()
+@query(f"""WITH e AS (SELECT event_id, concat_ws('|', event_type, CAST(user_id AS VARCHAR)) AS payload FROM events)
+SELECT {_hmac_sql("CASE WHEN event_id % 7 = 0 THEN payload || 'x' ELSE payload END")} = {_hmac_sql("payload")} AS valid, count(*) AS n FROM e GROUP BY 1""")
 def hmac_verify(spark: SparkSession, sf: str) -> DataFrame:
     """Audit entries and whether their signatures hold; every seventh was changed after signing."""
     e = v.table(spark, sf, "events").select("event_id", F.concat_ws("|", F.col("event_type"), F.col("user_id").cast("string")).alias("payload"))

@@ -10,7 +10,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ("graph_filter_numeric", "khop_neighborhood", "cycles_canonical", "slice_components", "coupling_instability", "schema_diff", "sink_scan", "duplicate_blocks", "session_windows", "near_line_band_join")
+FAST = ("text_similarity", "telemetry_totals", "hmac_verify", "python_ast_calls", "pdg_edges_udtf", "cross_file_taint", "graph_filter_numeric", "khop_neighborhood", "cycles_canonical", "slice_components", "coupling_instability", "schema_diff", "sink_scan", "duplicate_blocks", "session_windows", "near_line_band_join")
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,13 @@ def test_every_quantity_counts(spark, duck, name):
     some, whole = (entry.queries()[n](spark, SF).collect() for n in (name, name + "_all"))
     measure = {"shared_dependencies": "versions", "version_conflicts": "versions", "dependency_severity": "findings", "topic_bridge": "topics", "coupling_instability": "ce"}[name]
     assert sum(r[measure] for r in whole) > sum(r[measure] for r in some)
+
+
+def test_text_similarity_edges(spark):
+    from pyspark.sql import functions as F
+    from tessera.plans import text_queries as t
+
+    rows = [("The red Fox", "a red fox is", 1.0), ("of the", "of the", 0.0), (None, "x", 0.0), ("", "", 0.0), ("uno dos", "dos tres", 1 / 3)]
+    d = spark.createDataFrame(rows, "a string, b string, want double")
+    got = d.select("want", t.set_similarity(t.word_set(F.col("a")), t.word_set(F.col("b"))).alias("got")).collect()
+    assert all(abs(r.want - r.got) < 1e-12 for r in got)
