@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontamination, infill, jaccard, katz, lines, pieces, pii, topk, toxicity, warc
+from tessera.llm import chat, decontamination, infill, jaccard, katz, lines, pieces, pii, repair, sharding, topk, toxicity, warc
 from tessera.llm.common import fold, piece_model, shared_dir, stored, table
 
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,15 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT)
   sha256(x || y || z) AS restored_sha256
 FROM p
 """
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents on a hash ring with bounded loads, eight shards; the law that holds is that of rows."""
+    placed = sharding.assign(table(spark, sf_dir, "documents"), shared_dir(spark) + "/shards", shards=8)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage the conversations by the rule, repair them at least cost, and digest what comes out."""
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(rows), rows, shared_dir(spark) + "/repair")
