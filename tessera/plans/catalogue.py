@@ -1,6 +1,6 @@
 """All catalogue queries and their SQL twins."""
 
-from tessera.plans import aggregate_queries, code_queries, finding_queries, graph_queries, join_queries, relation_queries, slice_queries, source_queries, text_queries  # noqa: F401  (they register themselves)
+from tessera.plans import aggregate_queries, code_queries, finding_queries, graph_queries, join_queries, relation_queries, slice_queries, source_queries, structure_queries, text_queries  # noqa: F401  (they register themselves)
 from tessera.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

@@ -105,6 +105,28 @@ U_EDGES = """u_edges AS (
   GROUP BY ALL ORDER BY n DESC, src, dst LIMIT 64)"""
 
 
+def m_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Modules and their dependencies: a part depends on another one of its brand that follows it in an order. from_id, to_id, n,
+    type, confidence; with cycles of many lengths at every scale."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey", "l_suppkey")
+    line = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("from_id"), F.lead("l_partkey").over(w).alias("to_id"), F.round(F.col("l_discount") * 100).cast("int").alias("doubt"))
+    part = table(spark, sf, "part")
+    a, b = (part.select(F.col("p_partkey").alias(k), F.col("p_brand").alias(f"{k}_brand")) for k in ("from_id", "to_id"))
+    pairs = line.filter("from_id <> to_id").join(a, "from_id").join(b, "to_id").filter("from_id_brand = to_id_brand")
+    kind = F.element_at(F.array(F.lit("call"), F.lit("import"), F.lit("inherit")), ((F.col("from_id") + F.col("to_id")) % 3 + 1).cast("int"))
+    n = pairs.groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("n"), F.sum("doubt").alias("doubt"))
+    return n.select("from_id", "to_id", "n", kind.alias("type"), ((100 * F.col("n") - F.col("doubt")).cast("double") / (100 * F.col("n"))).alias("confidence"))
+
+
+M_EDGES = """m_edges AS (
+  SELECT from_id, to_id, n, CASE (from_id + to_id) % 3 WHEN 0 THEN 'call' WHEN 1 THEN 'import' ELSE 'inherit' END AS type, CAST(100 * n - doubt AS DOUBLE) / (100 * n) AS confidence FROM (
+    SELECT from_id, to_id, count(*) AS n, sum(doubt) AS doubt FROM (
+      SELECT l_partkey AS from_id, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey) AS to_id,
+        CAST(round(l_discount * 100) AS INTEGER) AS doubt FROM lineitem)
+    JOIN part a ON a.p_partkey = from_id JOIN part b ON b.p_partkey = to_id
+    WHERE from_id <> to_id AND a.p_brand = b.p_brand GROUP BY from_id, to_id))"""
+
+
 def calls(spark: SparkSession, sf: str) -> DataFrame:
     """request_id, tool, ts, ok and duration of each call in the audit log."""
     e = table(spark, sf, "events")
