@@ -1,5 +1,4 @@
-"""Queries over embedded source snippets, which the driver tables do not hold: their SQL twins are the rows that follow from
-reading the three snippets, and no tests of scale. And signatures over events."""
+"""Queries that parse the source files of all parts, and signatures over events."""
 
 from __future__ import annotations
 
@@ -7,14 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import parsing, signing
+from tessera.plans.code_queries import CALLS
 from tessera.plans.registry import query
 from tessera.sources import views as v
 
-SNIPPETS = (
-    ("routes.py", "def get_user(request):\n    user_id = request.args.get('id')\n    return execute_query(user_id)\n"),
-    ("db.py", "def execute_query(user_id):\n    sql = f'SELECT {user_id}'\n    cursor.execute(sql)\n    return sql\n"),
-    ("broken.py", "def broken(:\n"),
-)
 KEY = b"audit"
 
 
@@ -24,30 +19,33 @@ def _hmac_sql(payload: str) -> str:
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({payload}))))"
 
 
-def _snippets(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SNIPPETS, "path string, text string")
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    return v.src(spark, sf).select("path", F.col("code").alias("text"))
 
 
-@query("""SELECT * FROM (VALUES ('routes.py', 'get_user', 'request.args.get', 2), ('routes.py', 'get_user', 'execute_query', 3),
-('db.py', 'execute_query', 'cursor.execute', 3)) t(path, caller, callee, line)""")
+@query(f"WITH {CALLS} SELECT s.path, s.name AS caller, c.callee, c.pos AS line FROM called c JOIN symbols s ON s.file_id = c.file_id AND pos BETWEEN start AND stop")
 def python_ast_calls(spark: SparkSession, sf: str) -> DataFrame:
-    """Calls by scope."""
-    return parsing.python_calls(_snippets(spark))
+    """Calls by scope, from the syntax trees of all source files."""
+    return parsing.python_calls(_files(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('routes.py', 'user_id', 2, 3), ('db.py', 'sql', 2, 3), ('db.py', 'sql', 2, 4)) t(path, name, def_line, use_line)")
+@query(f"""WITH {v.SRC_LINES}, stored AS (SELECT path, pos, regexp_extract(line, '^ *(?:for )?([a-z_]+) (?:=|in) ', 1) AS name FROM src_lines WHERE regexp_matches(line, '^ *(?:[a-z_]+ =|for [a-z_]+ in) ')),
+read AS (SELECT DISTINCT path, pos, unnest(regexp_extract_all(regexp_replace(line, '^ *(?:[a-z_]+ =|for [a-z_]+ in) |#.*|"[^"]+"', ''), '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM src_lines)
+SELECT r.path, r.name, max(s.pos) AS def_line, r.pos AS use_line FROM read r JOIN stored s ON s.path = r.path AND s.name = r.name AND s.pos < r.pos GROUP BY r.path, r.name, r.pos""")
 def pdg_edges_udtf(spark: SparkSession, sf: str) -> DataFrame:
-    """Data-dependency edges."""
-    return parsing.def_use_edges(_snippets(spark))
+    """Data-dependency edges, from the syntax trees of all source files."""
+    return parsing.def_use_edges(_files(spark, sf))
 
 
-@query("SELECT * FROM (VALUES ('cursor.execute', 0), ('execute_query', 1), ('get_user', 2)) t(id, depth)")
+@query(f"""WITH RECURSIVE {v.M_EDGES}, walk(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 11 = 0 UNION
+  SELECT e.from_id, w.depth + 1 FROM walk w JOIN m_edges e ON e.to_id = w.id WHERE w.depth < 3)
+SELECT id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY id""")
 def cross_file_taint(spark: SparkSession, sf: str) -> DataFrame:
-    """Functions that reach a SQL sink through calls over files, with their depth."""
+    """Functions that reach one with a query through up to three calls, with their distance."""
     from tessera.operators import graph as g
 
-    calls = parsing.python_calls(_snippets(spark)).select(F.col("caller").alias("from_id"), F.col("callee").alias("to_id"))
-    return g.traverse(calls, spark.createDataFrame([("cursor.execute",)], "id string"), 3, "in")
+    sinks = v.table(spark, sf, "part").filter("p_partkey % 11 = 0").select(F.col("p_partkey").alias("id"))
+    return g.traverse(v.m_edges(spark, sf), sinks, 3, "in")
 
 
 @query(f"""WITH e AS (SELECT event_id, concat_ws('|', event_type, CAST(user_id AS VARCHAR)) AS payload FROM events)

@@ -45,10 +45,18 @@ def test_sql_twin(spark, duck, name):
 
 
 def test_source_queries(spark):
+    from tessera.functions import parsing
+
     q = entry.queries()
-    assert {(r.caller, r.callee) for r in q["python_ast_calls"](spark, SF).collect()} >= {("get_user", "execute_query"), ("execute_query", "cursor.execute")}
-    assert {(r.id, r.depth) for r in q["cross_file_taint"](spark, SF).collect()} == {("cursor.execute", 0), ("execute_query", 1), ("get_user", 2)}
-    assert {(r.name, r.def_line, r.use_line) for r in q["pdg_edges_udtf"](spark, SF).collect()} == {("user_id", 2, 3), ("sql", 2, 3), ("sql", 2, 4)}
+    snippets = [
+        ("routes.py", "def get_user(request):\n    user_id = request.args.get('id')\n    return execute_query(user_id)\n"),
+        ("db.py", "def execute_query(user_id):\n    sql = f'SELECT {user_id}'\n    cursor.execute(sql)\n    return sql\n"),
+        ("broken.py", "def broken(:\n"),
+        ("none.py", None),
+    ]
+    files = spark.createDataFrame(snippets, "path string, text string")
+    assert {(r.caller, r.callee, r.line) for r in parsing.python_calls(files).collect()} == {("get_user", "request.args.get", 2), ("get_user", "execute_query", 3), ("execute_query", "cursor.execute", 3)}
+    assert {(r.name, r.def_line, r.use_line) for r in parsing.def_use_edges(files).collect()} == {("user_id", 2, 3), ("sql", 2, 3), ("sql", 2, 4)}
     counts = {r.valid: r.n for r in q["hmac_verify"](spark, SF).collect()}
     total = spark.read.parquet(f"{SF}/events.parquet").count()
     assert sum(counts.values()) == total and counts[False] == spark.read.parquet(f"{SF}/events.parquet").filter("event_id % 7 = 0").count()
