@@ -91,3 +91,29 @@ hits(fn, from_fn, parameter, sink_fn, sink_line, kind, depth) AS (
    UNION SELECT fn, NULL, 'b', fn, 22, 'SHELL', 0 FROM f WHERE fn % 17 = 0)
   UNION SELECT c.fn, y.from_fn, y.parameter, h.sink_fn, h.sink_line, h.kind, h.depth + 1 FROM (SELECT DISTINCT fn, sink_fn, sink_line, kind, depth, parameter FROM hits WHERE depth < 5) h
     JOIN calls c ON c.callee = h.fn JOIN (SELECT *, 'a' AS through FROM y UNION ALL SELECT fn, NULL, 'b', kind, 'b' FROM f, kinds) y ON y.fn = c.fn AND y.kind = h.kind AND y.through = h.parameter)"""
+
+
+def code_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """id (file and function), key, module, type and complexity of each part's function."""
+    key = F.col("p_partkey")
+    folder = F.when(key % 10 == 9, "tests/").otherwise(F.concat(F.lit("pkg_"), (key % 10).cast("string"), F.lit("/")))
+    name = F.concat(F.when(key % 6 == 0, "_").otherwise(""), F.lit("f"), key.cast("string"))
+    module = F.when(F.col("p_size") % 10 == 0, "external").otherwise(F.col("p_brand"))
+    kind = F.element_at(F.array(F.lit("function"), F.lit("method"), F.lit("class")), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, sf, "part").select(F.concat(folder, F.lit("m"), key.cast("string"), F.lit(".py::"), name).alias("id"), key.alias("key"), "p_brand", module.alias("module"), kind.alias("type"), F.col("p_size").alias("complexity"))
+
+
+def code_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """from_id, to_id, type, confidence, weight and the complexity of what is called."""
+    n = code_nodes(spark, sf)
+    a, b = n.select(F.col("key").alias("a"), F.col("id").alias("a_id")), n.select(F.col("key").alias("b"), F.col("id").alias("b_id"), "complexity")
+    e = m_edges(spark, sf).join(a, F.col("from_id") == F.col("a")).join(b, F.col("to_id") == F.col("b"))
+    return e.select(F.col("a_id").alias("from_id"), F.col("b_id").alias("to_id"), "type", "confidence", (1.0 / F.col("n")).alias("weight"), "complexity")
+
+
+CODE = f"""{M_EDGES}, code_nodes AS (
+  SELECT CASE WHEN p_partkey % 10 = 9 THEN 'tests/' ELSE 'pkg_' || (p_partkey % 10) || '/' END || 'm' || p_partkey || '.py::' || CASE WHEN p_partkey % 6 = 0 THEN '_' ELSE '' END || 'f' || p_partkey AS id,
+    p_partkey AS key, p_brand, CASE WHEN p_size % 10 = 0 THEN 'external' ELSE p_brand END AS module, CASE p_size % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'method' ELSE 'class' END AS type, p_size AS complexity FROM part),
+code_edges AS (
+  SELECT a.id AS from_id, b.id AS to_id, e.type, confidence, 1.0::DOUBLE / n AS weight, b.complexity, a.module AS from_module, a.type AS from_type, b.module AS to_module, b.type AS to_type
+  FROM m_edges e JOIN code_nodes a ON a.key = e.from_id JOIN code_nodes b ON b.key = e.to_id)"""
