@@ -41,6 +41,17 @@ def _def_use(path: str, text: str) -> Iterator[tuple[str, str, int, int]]:
             yield path, name, last[name], line
 
 
+def _signatures(path: str, text: str) -> Iterator[tuple[str, str, int, list[str], str | None, list[str]]]:
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError):
+        return
+    for node in ast.walk(tree):
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            parameters = [a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") for a in node.args.args]
+            yield path, node.name, node.lineno, parameters, ast.get_docstring(node), [ast.unparse(d) for d in node.decorator_list]
+
+
 def _relation(files: DataFrame, fn, schema: str, columns: list[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -57,3 +68,9 @@ def python_calls(files: DataFrame) -> DataFrame:
 def def_use_edges(files: DataFrame) -> DataFrame:
     """path, name, def_line, use_line of straight-line data dependencies."""
     return _relation(files, _def_use, "path string, name string, def_line int, use_line int", ["path", "name", "def_line", "use_line"])
+
+
+def signatures(files: DataFrame) -> DataFrame:
+    """path, name, line, parameters (with annotations), docstring and decorators of every function."""
+    columns = ["path", "name", "line", "parameters", "docstring", "decorators"]
+    return _relation(files, _signatures, "path string, name string, line int, parameters array<string>, docstring string, decorators array<string>", columns)
