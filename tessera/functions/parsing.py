@@ -52,6 +52,53 @@ def _signatures(path: str, text: str) -> Iterator[tuple[str, str, int, list[str]
             yield path, node.name, node.lineno, parameters, ast.get_docstring(node), [ast.unparse(d) for d in node.decorator_list]
 
 
+def _imports(path: str, text: str) -> Iterator[tuple[str, str, str, str | None, str, int, int]]:
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError):
+        return
+    known: dict[str, str] = {}
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Import):
+            for a in node.names:
+                yield path, a.name, a.name, a.asname, "aliased" if a.asname else "direct", 0, node.lineno
+        elif isinstance(node, ast.ImportFrom):
+            for a in node.names:
+                yield path, node.module or "", a.name, a.asname, "wildcard" if a.name == "*" else "relative" if node.level else "from", node.level, node.lineno
+        elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, str):
+            known.update({t.id: node.value.value for t in node.targets if isinstance(t, ast.Name)})
+    for node in ast.walk(tree):
+        if isinstance(node, ast.Call) and ast.unparse(node.func) in ("importlib.import_module", "import_module", "__import__"):
+            first = node.args[0] if node.args else None
+            target = known.get(first.id) if isinstance(first, ast.Name) else first.value if isinstance(first, ast.Constant) else None
+            if isinstance(target, str):
+                yield path, target, target, None, "dynamic", 0, node.lineno
+            else:
+                yield path, "?", "?", None, "unknown", 0, node.lineno
+
+
+def _symbols(path: str, text: str) -> Iterator[tuple[str, str, str, int, bool]]:
+    try:
+        tree = ast.parse(text or "")
+    except (SyntaxError, ValueError):
+        return
+    listed: set[str] | None = None
+    found: dict[str, tuple[str, int]] = {}
+    for node in tree.body:
+        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
+            found[node.name] = "function", node.lineno
+        elif isinstance(node, ast.ClassDef):
+            found[node.name] = "class", node.lineno
+        elif isinstance(node, ast.Assign | ast.AnnAssign):
+            for t in node.targets if isinstance(node, ast.Assign) else [node.target]:
+                if isinstance(t, ast.Name):
+                    found[t.id] = "variable", node.lineno
+                    if t.id == "__all__" and isinstance(node.value, ast.List | ast.Tuple):
+                        listed = {e.value for e in node.value.elts if isinstance(e, ast.Constant)}
+    for name, (kind, line) in found.items():
+        yield path, name, kind, line, name in listed if listed is not None else not name.startswith("_")
+
+
 def _relation(files: DataFrame, fn, schema: str, columns: list[str]) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -74,3 +121,16 @@ def signatures(files: DataFrame) -> DataFrame:
     """path, name, line, parameters (with annotations), docstring and decorators of every function."""
     columns = ["path", "name", "line", "parameters", "docstring", "decorators"]
     return _relation(files, _signatures, "path string, name string, line int, parameters array<string>, docstring string, decorators array<string>", columns)
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """path, target, name ('*': all), alias, kind (direct, aliased, from, relative, wildcard, dynamic, unknown), level (dots of a
+    relative import) and line of every import, also of those within functions and of calls that import (P28)."""
+    columns = ["path", "target", "name", "alias", "kind", "level", "line"]
+    return _relation(files, _imports, "path string, target string, name string, alias string, kind string, level int, line int", columns)
+
+
+def symbols(files: DataFrame) -> DataFrame:
+    """path, name, kind, line of the top level of every file, and whether a wildcard import brings it: by __all__, or else all names
+    that do not begin with an underscore (T29)."""
+    return _relation(files, _symbols, "path string, name string, kind string, line int, public boolean", ["path", "name", "kind", "line", "public"])

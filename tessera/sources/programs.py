@@ -117,3 +117,26 @@ CODE = f"""{M_EDGES}, code_nodes AS (
 code_edges AS (
   SELECT a.id AS from_id, b.id AS to_id, e.type, confidence, 1.0::DOUBLE / n AS weight, b.complexity, a.module AS from_module, a.type AS from_type, b.module AS to_module, b.type AS to_type
   FROM m_edges e JOIN code_nodes a ON a.key = e.from_id JOIN code_nodes b ON b.key = e.to_id)"""
+
+
+def packages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Symbols and imports of a module for each part: `api` is defined where the key divides by 6 and is imported from the modules that
+    it depends on otherwise, on a line each, from the second one on as `helper`; where the key divides by 7, with all else that
+    is public; where it divides by 9, as a module of the package."""
+    key = F.col("p_partkey")
+    module = lambda c: F.concat(F.lit("pkg.m"), F.col(c).cast("string"))
+    part = table(spark, sf, "part")
+    own = part.select(module("p_partkey").alias("module"), F.concat(F.lit("_own"), key.cast("string")).alias("name"), F.lit(False).alias("public"))
+    symbols = own.unionByName(part.filter(key % 6 == 0).select(module("p_partkey").alias("module"), F.lit("api").alias("name"), F.lit(True).alias("public")))
+    line = F.row_number().over(Window.partitionBy("from_id").orderBy(F.desc("n"), "to_id"))
+    e = m_edges(spark, sf).withColumn("line", line)
+    wild, nested = F.col("from_id") % 7 == 0, F.col("from_id") % 9 == 0
+    name = F.when(wild, "*").when(nested, F.concat(F.lit("m"), F.col("to_id").cast("string"))).otherwise("api")
+    alias = F.when(~wild & (F.col("line") > 1), "helper")
+    return symbols, e.select(module("from_id").alias("module"), F.when(~wild & nested, "pkg").otherwise(module("to_id")).alias("target"), name.alias("name"), alias.alias("alias"), "line")
+
+
+PACKAGES = f"""{M_EDGES}, symbols AS (SELECT 'pkg.m' || p_partkey AS module, '_own' || p_partkey AS name, false AS public FROM part UNION ALL SELECT 'pkg.m' || p_partkey, 'api', true FROM part WHERE p_partkey % 6 = 0),
+imports AS (SELECT 'pkg.m' || from_id AS module, CASE WHEN from_id % 7 <> 0 AND from_id % 9 = 0 THEN 'pkg' ELSE 'pkg.m' || to_id END AS target,
+  CASE WHEN from_id % 7 = 0 THEN '*' WHEN from_id % 9 = 0 THEN 'm' || to_id ELSE 'api' END AS name, CASE WHEN from_id % 7 <> 0 AND line > 1 THEN 'helper' END AS alias, line
+  FROM (SELECT *, row_number() OVER (PARTITION BY from_id ORDER BY n DESC, to_id) AS line FROM m_edges))"""
