@@ -6,6 +6,8 @@ import re
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,17 +60,23 @@ def _fits(kind: T.DataType, value: object) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether a pattern is one of the dialect that it is run in."""
+    try:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def predicate(column: Column, op: str, value: object, kind: T.DataType) -> Column:
     """One condition on a column of this type. A missing attribute never matches; of a text and a number, only != holds; a
     pattern that does not compile matches nothing (G3 to G5)."""
     text = column.cast("string")
     if op in ("=", "!=", ">", "<", ">=", "<=") and not _fits(kind, value):
         return column.isNotNull() if op == "!=" else F.lit(False)
-    if op == "matches":
-        try:
-            re.compile(str(value))
-        except re.error:
-            return F.lit(False)
+    if op == "matches" and not _compiles(str(value)):
+        return F.lit(False)
     return F.coalesce(
         {
             "=": lambda: column == value, "!=": lambda: column != value, ">": lambda: column > value, "<": lambda: column < value,

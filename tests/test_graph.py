@@ -57,7 +57,8 @@ def test_types_that_do_not_match(nodes):
     assert ids(g.select_nodes(nodes, "WHERE name = 5")) == []
     assert len(ids(g.select_nodes(nodes, "WHERE name != 5"))) == 4
     assert ids(g.select_nodes(nodes, "WHERE complexity = abc")) == [] and ids(g.select_nodes(nodes, "WHERE name > 3")) == []
-    assert ids(g.select_nodes(nodes, "WHERE name matches '(['")) == []
+    assert ids(g.select_nodes(nodes, "WHERE name matches '(['")) == [] and ids(g.select_nodes(nodes, "WHERE name matches '(?P<x>a)'")) == []
+    assert len(ids(g.select_nodes(nodes, r"WHERE name matches '^\p{L}+_order$'"))) == 3
     assert ids(g.select_nodes(nodes, "WHERE complexity contains '5' ORDER BY complexity")) == ["f3", "f1"]
 
 
