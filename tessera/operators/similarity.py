@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "be", "been", "and", "or", "to", "of", "in", "for")
 OWN = ("self", "cls")
 BLOCK = 256  # functions asked for that meet the others at once
+PAIRS = 200_000  # pairs that one task compares
 
 
 def letters(name: Column) -> Column:
@@ -94,8 +95,9 @@ def parameter_names(parameters: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Share of common elements of two sets; 0 if either is empty (F2)."""
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
+    """Share of common elements of two arrays without repeats; 0 if either is empty (F2)."""
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)).otherwise(F.lit(0.0))
 
 
 def _weighed(value: Column, weight: float, above: float) -> Column:
@@ -111,9 +113,11 @@ def neighbours(asked: DataFrame, functions: DataFrame, k: int = 10, least: float
     sets = {"low": F.lower("name"), "letters": letters(F.lower("name")), "parts": parts(F.col("name")), "names": parameter_names(F.col("parameters")), "words": words(F.col("docstring")), "marks": F.array_distinct(F.coalesce("decorators", F.array().cast("array<string>")))}
     rows = lambda df: df.filter("name IS NOT NULL AND path IS NOT NULL").select("path", "name", "line", *(c.alias(n) for n, c in sets.items()))
     own = rows(asked).select(*(F.col(c).alias(f"own_{c}") for c in ("path", "name", "line", *sets)))
-    own = own.withColumn("block", F.pmod(F.xxhash64("own_path", "own_name", "own_line"), F.lit(max(1, own.count() // BLOCK))))
+    n_own = own.count()
+    own = own.withColumn("block", F.pmod(F.xxhash64("own_path", "own_name", "own_line"), F.lit(max(1, n_own // BLOCK))))
+    parts_of_work = max(functions.sparkSession.sparkContext.defaultParallelism, n_own * functions.count() // PAIRS)  # small rows make many pairs
     n_blocks = own.agg((F.max("block") + 1).alias("blocks"))
-    spread = rows(functions).join(F.broadcast(n_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>")))
+    spread = rows(functions).repartition(parts_of_work, "path", "name", "line").join(F.broadcast(n_blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1).cast("array<bigint>")))
     pairs = spread.join(own, "block").filter("path <> own_path OR name <> own_name")
     like = lambda c: jaccard(F.col(c), F.col(f"own_{c}"))
     scored = pairs.withColumns({"by_parts": _weighed(like("parts"), 0.3, 0.5), "by_names": _weighed(like("names"), 0.2, 0.3), "by_words": _weighed(like("words"), 0.2, 0.3), "by_marks": _weighed(like("marks"), 0.2, 0.5)})
@@ -122,8 +126,10 @@ def neighbours(asked: DataFrame, functions: DataFrame, k: int = 10, least: float
     scored = scored.withColumns({"lowest": F.least(rest, F.lit(1.0)), "highest": F.least(bound + rest + 1e-9, F.lit(1.0))}).filter(F.col("highest") >= least)
     centre = ["own_path", "own_name", "own_line"]
     kept = scored.select(*centre, "path", "name", "line", "low", "own_low", "by_parts", "by_names", "by_words", "by_marks", "lowest", "highest")
-    floor = kept.filter(F.col("lowest") >= least).withColumn("r", F.row_number().over(Window.partitionBy(*centre).orderBy(F.desc("lowest")))).filter(F.col("r") <= k)
-    floor = floor.groupBy(*(F.col(c).alias(f"f_{c}") for c in centre)).agg(F.when(F.count(F.lit(1)) == k, F.min("lowest")).alias("floor"))
+    # the score that k others reach for certain, to a thousandth: counts by centre and score, added up from the top
+    counts = kept.filter(F.col("lowest") >= least).groupBy(*centre, F.floor(F.col("lowest") * 1000).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+    above = F.sum("n").over(Window.partitionBy(*centre).orderBy(F.desc("score")))
+    floor = counts.withColumn("above", above).filter(F.col("above") >= k).groupBy(*(F.col(c).alias(f"f_{c}") for c in centre)).agg((F.max("score") / 1000).alias("floor"))
     same = [F.col(c) == F.col(f"f_{c}") for c in centre]
     likely = kept.join(floor, same, "left").filter(F.col("floor").isNull() | (F.col("highest") >= F.col("floor"))).drop("floor", "lowest", "highest", *(f"f_{c}" for c in centre))
     rated = with_ratio(likely, "own_low", "low")
