@@ -137,7 +137,7 @@ def traverse(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: s
     while depth is None or d < depth:
         d += 1
         reached = frontier.join(step, F.col("id") == F.col("at")).select(F.col("next").alias("id")).distinct()
-        fresh = reached.join(seen.select(F.col("id").alias("old")), F.col("id") == F.col("old"), "left_anti").withColumn("depth", F.lit(d))
+        fresh = reached.join(seen.select(F.col("id").alias("old")).hint("merge"), F.col("id") == F.col("old"), "left_anti").withColumn("depth", F.lit(d))
         frontier = fresh if d == depth else cut(fresh)
         if depth is None and frontier.limit(1).count() == 0:
             break
@@ -152,7 +152,7 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "out") -> DataF
 
 def between(edges: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
     """Edges on ways from starts to ends: both ends are reached from the one and reach the other."""
-    inside = closure(edges, starts).select("id").intersect(closure(edges, ends, "in").select("id"))
+    inside = closure(edges, starts).select("id").join(closure(edges, ends, "in").select("id").hint("merge"), "id", "left_semi")
     return induced(cut(inside), edges)
 
 
