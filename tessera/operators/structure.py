@@ -21,7 +21,7 @@ def _trimmed(e: DataFrame, passes: int = 3) -> DataFrame:
     while True:
         left = e
         for _ in range(passes):
-            entered, left_by = left.select(F.col("b").alias("x")).distinct(), left.select(F.col("a").alias("x")).distinct()
+            entered, left_by = (left.select(F.col(c).alias("x")).distinct().hint("merge") for c in ("b", "a"))  # a join has no hint itself
             left = left.join(entered, F.col("a") == F.col("x"), "left_semi").join(left_by, F.col("b") == F.col("x"), "left_semi")
         left = cut(left)
         if left.count() == e.count():

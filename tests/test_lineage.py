@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
+from tessera.operators import structure
 from tessera.operators.lineage import cut, together
 from tessera.sources import programs as p
 from tessera.sources import views as v
@@ -30,3 +31,11 @@ def test_module_edges_do_not_broadcast_parts(spark):
 
 def test_bridge_holds_no_arrays_of_topics(spark):
     assert "collect_set" not in plan(entry.queries()["topic_bridge_all"](spark, SF))
+
+
+def test_trimming_broadcasts_no_ends(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(structure, "cut", lambda df: (plans.append(plan(df)), cut(df))[1])
+    e = cut(spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (4, 5)], "a int, b int"))
+    assert {tuple(r) for r in structure._trimmed(e).collect()} == {(2, 3), (3, 2)}
+    assert plans and not any("Broadcast" in x for x in plans)
