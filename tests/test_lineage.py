@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import __spark_entry__ as entry
 from pyspark.sql import functions as F
-from tessera.operators import structure
+from tessera.operators import graph, structure
 from tessera.operators.lineage import cut, together
 from tessera.sources import programs as p
 from tessera.sources import views as v
@@ -39,3 +39,12 @@ def test_trimming_broadcasts_no_ends(spark, monkeypatch):
     e = cut(spark.createDataFrame([(1, 2), (2, 3), (3, 2), (3, 4), (4, 5)], "a int, b int"))
     assert {tuple(r) for r in structure._trimmed(e).collect()} == {(2, 3), (3, 2)}
     assert plans and not any("Broadcast" in x for x in plans)
+
+
+def test_closures_broadcast_nothing_seen(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "cut", lambda df: (plans.append(plan(df)), cut(df))[1])
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "c"), ("c", "d")], "from_id string, to_id string")
+    ends = [spark.createDataFrame([(x,)], "id string") for x in "ac"]
+    assert {(r.from_id, r.to_id) for r in graph.between(e, *ends).collect()} == {("a", "b"), ("b", "c")}
+    assert len(plans) > 3 and not any("Broadcast" in x for x in plans)
