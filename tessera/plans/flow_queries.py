@@ -23,7 +23,7 @@ SELECT l.proc, l.node, l.definition FROM live l JOIN uses u USING (proc, node, v
 def definition_uses(spark: SparkSession, sf: str) -> DataFrame:
     """The definitions that may reach each statement that reads the variable, loops and branches considered."""
     nodes, edges = _graph(spark, sf)
-    return flow.reaching_definitions(edges, p.definitions(nodes)).join(p.uses(nodes), ["proc", "node", "variable"]).select("proc", "node", "definition")
+    return flow.reaching_definitions(edges, p.definitions(nodes), p.uses(nodes)).select("proc", "node", "definition")
 
 
 LIVE = f"""WITH RECURSIVE {p.FLOW}, live(proc, node, variable) AS (
@@ -52,18 +52,16 @@ avoid(proc, d, node) AS (SELECT proc, node, CAST(1 AS BIGINT) FROM nodes WHERE n
 dom AS (SELECT x.proc, x.node, y.node AS dominator FROM reach x JOIN reach y ON x.proc = y.proc ANTI JOIN avoid v ON v.proc = x.proc AND v.node = x.node AND v.d = y.node)"""
 
 
-def _dominators(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _entered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges = _graph(spark, sf)
-    return edges, cut(flow.dominators(edges, nodes.filter("node = 1").select("proc", "node")))
+    return edges, nodes.filter("node = 1").select("proc", "node")
 
 
 @query(DOMINATORS + """, depth AS (SELECT proc, node, count(*) AS depth FROM dom GROUP BY ALL)
 SELECT d.proc, d.node, arg_max(d.dominator, p.depth) AS dominator, count(*) AS n FROM dom d JOIN depth p ON p.proc = d.proc AND p.node = d.dominator WHERE d.node <> d.dominator GROUP BY d.proc, d.node""")
 def immediate_dominators(spark: SparkSession, sf: str) -> DataFrame:
     """Each statement's immediate dominator and the number of its dominators (P20, P25)."""
-    _, found = _dominators(spark, sf)
-    n = found.filter("node <> dominator").groupBy("proc", "node").agg(F.count(F.lit(1)).alias("n"))
-    return flow.immediate_dominators(found).join(n, ["proc", "node"])
+    return flow.immediate_dominators(flow.dominators(*_entered(spark, sf)))
 
 
 @query(DOMINATORS + """, back AS (SELECT e.proc, e.b AS header, e.a AS node FROM edges e JOIN dom d ON d.proc = e.proc AND d.node = e.a AND d.dominator = e.b),
@@ -73,6 +71,5 @@ whole AS (SELECT * FROM body UNION SELECT proc, header, header FROM back)
 SELECT proc, header, string_agg(node, ',' ORDER BY node) AS body, count(*) AS n FROM whole GROUP BY ALL""")
 def natural_loops(spark: SparkSession, sf: str) -> DataFrame:
     """The loops of each procedure and the statements in them."""
-    edges, found = _dominators(spark, sf)
     body = F.array_sort(F.collect_list("node")).cast("array<string>")
-    return flow.natural_loops(edges, found).groupBy("proc", "header").agg(F.array_join(body, ",").alias("body"), F.count(F.lit(1)).alias("n"))
+    return flow.loops(*_entered(spark, sf)).groupBy("proc", "header").agg(F.array_join(body, ",").alias("body"), F.count(F.lit(1)).alias("n"))

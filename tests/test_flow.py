@@ -78,3 +78,28 @@ def test_dominators_and_loops(spark, programs):
     for r in flow.natural_loops(edges, found).collect():
         loops.setdefault((r.proc, r.header), set()).add(r.node)
     assert loops == bodies
+
+
+def all_results(spark, programs):
+    edges, entries = rows(spark, programs, 1, "a long, b long"), spark.createDataFrame([(p, 0) for p in programs], "proc long, node long")
+    defs, uses = rows(spark, programs, 2, "node long, variable string"), rows(spark, programs, 3, "node long, variable string")
+    found = flow.dominators(edges, entries)
+    frames = [flow.reaching_definitions(edges, defs, uses).select("proc", "node", "definition"), flow.live_variables(edges, defs, uses), flow.dead_definitions(edges, defs, uses), found, flow.natural_loops(edges, found), flow.loops(edges, entries)]
+    return [sorted(map(tuple, f.collect())) for f in frames]
+
+
+def no_rounds(*_, **__):
+    raise AssertionError("rows of small procedures went in rounds")
+
+
+def test_small_procedures_without_rounds(spark, programs, monkeypatch):
+    """A chain of 12 nodes with a loop would take several rounds; a procedure that is large has the same results."""
+    chain = {(k, k + 1) for k in range(11)} | {(11, 3)}
+    mixed = {p: programs[p] for p in (1, 4, 7)} | {99: (12, chain, {(0, "x"), (6, "y")}, {(10, "x"), (2, "y")})}
+    monkeypatch.setattr(flow, "SMALL", 12)  # only the chain has more rows, and goes in rounds
+    split = all_results(spark, mixed)
+    monkeypatch.setattr(flow, "SMALL", 256)
+    monkeypatch.setattr(flow, "spread", no_rounds)
+    assert all_results(spark, mixed) == split and split[4] == split[5]
+    assert (99, 10, 0) in split[0] and (99, 2, 6) not in split[0]
+    assert all(len(set(r)) == len(r) for r in split)
