@@ -110,3 +110,24 @@ def test_constraints(spark, graph, frames):
             expected[a, b, k + 1] = (list(p), missed, round(-s, 9))
     assert expected and {(x.start, x.end, x.rank): (x.path, x.violated, round(x.score, 9)) for x in got} == expected
     assert all(x.satisfied[:3] == ["min_length", "max_length", "must_visit:n0"] and "min_confidence" in x.satisfied for x in got)
+
+
+def test_pairs_of_a_key_only_where_ways_lead(spark, graph, frames, monkeypatch):
+    """All nodes but one share a key; pairs are not written before ways are known, and the paths are those of the pairs."""
+    nodes, _ = graph
+    names = sorted(nodes)
+    key = lambda x: None if x == "n07" else "k"
+    starts, ends = names[:3], names[:12]
+    alike = r.Alike(*(spark.createDataFrame([(x, key(x)) for x in xs], f"{c} string, key string") for c, xs in (("start", starts), ("end", ends))))
+    lone = spark.createDataFrame([(f"lone{k}", "k") for k in range(500)], "end string, key string")
+    steps, stops = r.compiled(*frames, r.Rules("skip_external", "confidence_weight"))
+    explicit = spark.createDataFrame([(a, b) for a in starts for b in ends if key(a) and key(a) == key(b)], "start string, end string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    written, cut = [], r.cut
+    monkeypatch.setattr(r, "cut", lambda df: written.append(out := cut(df)) or out)
+    got = rows(r.best_paths(steps, stops, r.Alike(alike.starts, alike.ends.unionByName(lone)), 3, 2))
+    assert max(t.count() for t in written if {"start", "end"} <= set(t.columns)) < 3 * len(names)
+    assert got and got == rows(r.best_paths(steps, stops, explicit, 3, 2))
+    want = r.Constraints(max_length=3, must_avoid=("n05",), node_types=("function", "Class"))
+    score = lambda pairs: rows(r.constrained_paths(*frames, pairs, want).select("start", "end", "rank", "path"))
+    assert score(alike) == score(explicit) != []
