@@ -17,8 +17,10 @@ among the labels (0 without labels). Columns other than the id, the text and the
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from operator import mul
@@ -31,6 +33,7 @@ from pyspark.sql import types as T
 
 BITS = 18
 ORDERS = (4, 5, 6)
+FEATURES_AT_ONCE = 1 << 18  # of a step of the fit
 WORD = re.compile(r"\w+")
 
 
@@ -62,38 +65,57 @@ def gram_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def features(words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their values: n-grams for each 100 words."""
+def counts_of(words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and how many of its n-grams fall into each."""
     names = list(words)
     bucket, owner = gram_buckets(names)
     times = np.fromiter(words.values(), float, len(names))
     found, place = np.unique(bucket, return_inverse=True)
-    return found, np.bincount(place, times[owner], len(found)) * (100 / max(1, words.total()))
+    return found, np.bincount(place, times[owner], len(found))
+
+
+def features(words: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their values: n-grams for each 100 words."""
+    found, counts = counts_of(words)
+    return found, counts * (100 / max(1, words.total()))
 
 
 def fit(texts: list[str], labels: np.ndarray, prior: float, rounds: int = 120, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
     """The weights of all buckets and the intercept. prior: share of label 1 among all labelled rows, for a lack of either."""
     if not 0 < labels.sum() < len(labels):
         return np.zeros(0, np.float32), math.log((prior + 1e-6) / (1 - prior + 1e-6))
-    rows = [features(words_of(x)) for x in texts]
     seen = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
-    for (g, _), y in zip(rows, labels, strict=True):
+    col, value, ends, scale = array("i"), array("f"), [0], []  # one flat row after another, 8 bytes for each feature
+    for x, y in zip(texts, labels, strict=True):
+        words = words_of(x)
+        g, times = counts_of(words)
         seen[int(y)][g] += 1
+        col.frombytes(g.astype(np.int32).tobytes())
+        value.frombytes(times.astype(np.float32).tobytes())
+        ends.append(len(col))
+        scale.append(100 / max(1, words.total()))
     n = [(labels == k).sum() for k in (0, 1)]
     ratio = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
     used = np.flatnonzero(seen[0] + seen[1])
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
-    col = np.concatenate([place[g] for g, _ in rows])
-    value = (np.concatenate([v for _, v in rows]) * ratio[used][col]).astype(np.float32)
-    row = np.repeat(np.arange(len(texts)), [len(g) for g, _ in rows])
+    col, value, ends, scale = np.frombuffer(col, np.int32), np.frombuffer(value, np.float32), np.array(ends), np.array(scale)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(FEATURES_AT_ONCE, ends[-1], FEATURES_AT_ONCE)), len(texts)]).tolist()
+    blocks = [(slice(i, j), slice(ends[i], ends[j]), np.repeat(np.arange(j - i, dtype=np.int32), np.diff(ends[i : j + 1]))) for i, j in itertools.pairwise(cuts)]
+    for rows, at, row in blocks:
+        value[at] = value[at].astype(float) * scale[rows][row] * ratio[col[at]]
+        col[at] = place[col[at]]
     own = np.where(labels == 1, 0.5 / n[1], 0.5 / n[0])  # both classes weigh the same
     weight, bias = np.zeros(len(used)), 0.0
     moment, spread = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, rounds + 1):  # full-batch Adam on the logistic loss with an L2 penalty
-        z = np.bincount(row, value * weight.astype(np.float32)[col], len(texts)) + bias
-        miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels) * own
-        grad = np.r_[np.bincount(col, value * miss.astype(np.float32)[row], len(used)) + penalty * weight, miss.sum()]
+        narrow, slope, misses = weight.astype(np.float32), np.zeros(len(used)), np.zeros(len(texts))
+        for rows, at, row in blocks:
+            where = col[at].astype(np.intp)
+            z = np.bincount(row, value[at] * narrow[where], rows.stop - rows.start) + bias
+            misses[rows] = miss = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) * own[rows]
+            np.add.at(slope, where, (value[at] * miss.astype(np.float32)[row]).astype(float))
+        grad = np.r_[slope + penalty * weight, misses.sum()]
         moment = 0.9 * moment + 0.1 * grad
         spread = 0.99 * spread + 0.01 * grad * grad
         move = 0.03 * (moment / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-9)

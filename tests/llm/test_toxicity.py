@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -70,3 +72,14 @@ def test_repeated_rows_and_ties(spark):
     many = toxicity.score(docs, toxicity.train(docs, labels)).collect()
     assert {(r.doc_id, round(r.score, 9)) for r in once} == {(r.doc_id, round(r.score, 9)) for r in many} and len(many) == 40
     assert {r.doc_id: r.predicted for r in many} == {0: 1, 1: 0, 2: 1, 3: 0}
+
+
+def test_fit_holds_few_bytes_a_feature():
+    r = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, r.integers(97, 123, 6))) for _ in range(300)) for _ in range(500)]
+    n = sum(len(toxicity.features(toxicity.words_of(x))[0]) for x in texts)
+    tracemalloc.start()
+    toxicity.fit(texts, np.arange(500) % 2.0, 0.5, rounds=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * n + 100 * (1 << toxicity.BITS)
