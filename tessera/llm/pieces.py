@@ -15,10 +15,12 @@ rows repeat their result; other columns than the two named are ignored. Texts ar
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +58,16 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def _flat(words: list[array]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words one after another, and where each word ends."""
+    return np.frombuffer(b"".join(words), np.int32), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+
+
+def _slices(whole: Sequence, ends: np.ndarray) -> list:
+    cuts = ends.tolist()
+    return [whole[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if cuts else []
+
+
 class PieceModel:
     """Tables of a BPE model with identity normalisation, a leading word mark and byte fallback."""
 
@@ -80,6 +92,10 @@ class PieceModel:
         self.bytes_at = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(kinds) if k == BYTE}
         self.byte_of = {i: b for b, i in self.bytes_at.items()}
         self.size = len(self.pieces)
+        self.digits = [f"{i}," for i in range(self.size)]
+        self.shown = ["" if i in self.byte_of else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.digit_size, self.shown_size = (np.fromiter(map(len, x), np.int64, self.size) for x in (self.digits, self.shown))
+        self.is_byte = np.array([k == BYTE for k in kinds], bool)
         self.chars = np.arange(0x110000, dtype=np.int32) + self.size  # symbols of characters without a piece
         for p, i in normal.items():
             if len(p) == 1:
@@ -111,7 +127,7 @@ class PieceModel:
         made = self._merge(left, right)
         return np.where(made == NONE, NONE, self.rank[np.minimum(made, self.size - 1)])
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[array]:
         """Ids of words, each of which gets a leading word mark."""
         short = [MARK + w for w in words if len(w) <= LONG]
         if len(short) == len(words):
@@ -119,7 +135,7 @@ class PieceModel:
         cut = [self._segments(MARK + w) for w in words if len(w) > LONG]
         done = iter(self._rounds(short + [x for parts in cut for x in parts if len(x) <= LONG + 1]))
         own = [next(done) for _ in short]
-        joined = iter([[i for x in parts for i in (next(done) if len(x) <= LONG + 1 else self._one_by_one(x))] for parts in cut])
+        joined = iter([array("i", [i for x in parts for i in (next(done) if len(x) <= LONG + 1 else self._one_by_one(x))]) for parts in cut])
         own = iter(own)
         return [next(own if len(w) <= LONG else joined) for w in words]
 
@@ -159,13 +175,13 @@ class PieceModel:
                     heapq.heappush(heap, (ranks[piece], k))
         return [j for i in sym if i >= 0 for j in ([i] if i < self.size else [self.bytes_at[b] for b in chr(i - self.size).encode()])]
 
-    def _rounds(self, words: list[str]) -> list[list[int]]:
+    def _rounds(self, words: list[str]) -> list[array]:
         """Ids of words that have their marks, all in flat arrays."""
         if not words:
             return []
         sym = self.chars[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
         size = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words)), size)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), size)
         rank = np.full(len(sym), NONE, np.int32)
         inner = np.flatnonzero(word[:-1] == word[1:])
         rank[inner] = self._ranks(sym[inner], sym[inner + 1])
@@ -195,7 +211,9 @@ class PieceModel:
             keep[hit + 1] = False
             at = np.cumsum(keep)[hit] - 1
             sym, word, rank = sym[keep], word[keep], rank[keep]
-            near = np.unique(np.r_[at, at[at > 0] - 1])
+            touched = np.zeros(len(sym), bool)
+            touched[at] = touched[at[at > 0] - 1] = True
+            near = np.flatnonzero(touched)
             rank[near] = NONE
             near = near[near < len(sym) - 1]
             near = near[word[near] == word[near + 1]]
@@ -203,17 +221,30 @@ class PieceModel:
         sym, word = np.concatenate(done_sym), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         sym, ends = sym[order], np.cumsum(np.bincount(word, minlength=len(words)))
-        strange = sym.max() >= self.size
-        flat, out, start = sym.tolist(), [], 0
-        for end in ends.tolist():
-            ids = flat[start:end]
-            if strange and max(ids) >= self.size:
-                ids = [j for i in ids for j in ([i] if i < self.size else [self.bytes_at[b] for b in chr(i - self.size).encode()])]
-            out.append(ids)
-            start = end
+        strange = sym >= self.size
+        if strange.any():  # characters without a piece become their bytes
+            spelt = [[self.bytes_at[b] for b in chr(i - self.size).encode()] for i in sym[strange].tolist()]
+            times = np.ones(len(sym), np.int64)
+            times[strange] = list(map(len, spelt))
+            ends = np.r_[0, np.cumsum(times)][ends]
+            sym, strange = np.repeat(sym, times), np.repeat(strange, times)
+            sym[strange] = [i for ids in spelt for i in ids]
+        return _slices(array("i", sym.astype(np.int32).tobytes()), ends)
+
+    def name_words(self, words: list[array]) -> list[str]:
+        """The decimal ids of each word, each with a comma after it."""
+        ids, ends = _flat(words)
+        return _slices("".join(map(self.digits.__getitem__, ids.tolist())), np.r_[0, np.cumsum(self.digit_size[ids])][ends])
+
+    def decode_words(self, words: list[array]) -> list[str]:
+        """Texts of the words' ids, word marks as blanks."""
+        ids, ends = _flat(words)
+        out = _slices("".join(map(self.shown.__getitem__, ids.tolist())), np.r_[0, np.cumsum(self.shown_size[ids])][ends])
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero(self.is_byte[ids]), "right")).tolist():
+            out[k] = self.decode_word(words[k])
         return out
 
-    def decode_word(self, ids: list[int]) -> str:
+    def decode_word(self, ids: Sequence[int]) -> str:
         """Text of ids, word marks as blanks."""
         out, held = [], bytearray()
         for i in ids:
@@ -237,33 +268,40 @@ class PieceModel:
         return [x[1:] for x in re.findall(f"{MARK}+[^{MARK}]*", MARK + text.replace(" ", MARK))]
 
 
+@functools.lru_cache(maxsize=1)
+def loaded(model: bytes) -> PieceModel:
+    """The tables of a model, built once in each process."""
+    return PieceModel(model)
+
+
 class Codec:
     """Encodes and decodes texts, keeping the words it has seen, up to `keep_words` of them."""
 
     def __init__(self, model: bytes, keep_words: int = 200_000) -> None:
-        self.model, self.keep_words = PieceModel(model), keep_words
-        self._clear()
+        self.model, self.keep_words = loaded(model), keep_words
+        self.known: dict[str, tuple[array, str, str]] = {}  # ids, their decimals, decoded text
 
-    def _clear(self) -> None:
-        self.ids: dict[str, list[int]] = {}
-        self.count: dict[str, int] = {}
-        self.named: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+    @property
+    def ids(self) -> dict[str, array]:
+        """Ids of each word that is known."""
+        return {w: own for w, (own, _, _) in self.known.items()}
 
     def learn(self, docs: list[list[str]]) -> None:
         """Encode the words of some documents that are not known yet."""
-        if len(self.count) > self.keep_words:
-            self._clear()
-        new = list(set().union(*docs).difference(self.count))
-        for w, ids in zip(new, self.model.encode_words(new), strict=True):
-            self.ids[w] = ids
-            self.count[w] = len(ids)
-            self.named[w] = ",".join(map(str, ids))
-            self.text[w] = self.model.decode_word(ids)
+        if len(self.known) > self.keep_words:
+            self.known = {}
+        new = list(set().union(*docs).difference(self.known))
+        ids = self.model.encode_words(new)
+        self.known.update(zip(new, zip(ids, self.model.name_words(ids), self.model.decode_words(ids), strict=True), strict=True))
+
+    def look_up(self, words: list[str]) -> tuple[Sequence[array], str, str]:
+        """Of the words of a document: their ids, all ids in decimals with commas between, the decoded text."""
+        ids, named, text = zip(*map(self.known.__getitem__, words), strict=True) if words else ((), (), ())
+        return ids, "".join(named)[:-1], "".join(text)[1:]  # without the blank of the leading word mark
 
     def decode(self, words: list[str]) -> str:
-        """The decoded text: without the blank of the leading word mark."""
-        return "".join(map(self.text.__getitem__, words))[1:]
+        """The decoded text."""
+        return self.look_up(words)[2]
 
 
 def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column: str = "text", whole: bool = True, chars_at_once: int = 1_000_000) -> DataFrame:
@@ -292,9 +330,9 @@ def encode(docs: DataFrame, model: bytes, id_column: str = "doc_id", text_column
                 codec.learn(split)
                 out: dict[str, list] = {name: [] for name, _ in fields}
                 for i, words in zip(ids, split, strict=True):
-                    decoded = codec.decode(words)
-                    row = [i, sum(map(codec.count.__getitem__, words)), hashlib.sha256(",".join(map(codec.named.__getitem__, words)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                    row += [[j for w in words for j in codec.ids[w]], decoded] if whole else []
+                    own, named, decoded = codec.look_up(words)
+                    row = [i, sum(map(len, own)), hashlib.sha256(named.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
+                    row += [np.frombuffer(b"".join(own), np.int32), decoded] if whole else []
                     for name, value in zip(out, row, strict=True):
                         out[name].append(value)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)

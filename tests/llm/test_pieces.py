@@ -72,3 +72,15 @@ def test_table(spark, library):
         assert (row.doc_id, row.ids, row.n_tokens, row.decoded) == (i, ids, len(ids), library.decode(ids))
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert pieces.encode(spark.createDataFrame([], "doc_id long, text string"), open(PATH, "rb").read()).count() == 0
+
+
+def test_words_are_held_as_flat_arrays():
+    model = open(PATH, "rb").read()
+    codec = pieces.Codec(model)
+    assert pieces.Codec(bytes(bytearray(model))).model is codec.model  # built once in each process
+    words = ["the", "", "naïve", "☃☃x", "日本語🙂", "a" * 3000]
+    codec.learn([words])
+    for w in words:
+        ids, named, text = codec.known[w]
+        assert ids.itemsize == 4 and (not w or ids.tolist() == LIBRARY.encode(w))
+        assert named == "".join(f"{i}," for i in ids) and text == " " + w
