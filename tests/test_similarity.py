@@ -115,3 +115,16 @@ def test_kinds(spark):
     pairs = [("1odash", "lodash", "visual_similarity"), ("rquests", "requests", "missing_char"), ("numpyy", "numpy", "extra_char"), ("pnadas", "pandas", "transposition"), ("flaxk", "flask", "character_swap"), ("scipyzzz", "scipy", "other")]
     df = spark.createDataFrame(pairs, "a string, b string, want string")
     assert all(r.got == r.want for r in df.withColumn("got", s.typo_kind(F.col("a"), F.col("b"))).collect())
+
+
+def test_neighbours_meet_in_blocks(spark, monkeypatch, capsys):
+    """Pairs are no rows of a join, asked functions may come from the same table, and blocks and chunks of any size give one result."""
+    files = spark.createDataFrame([("a.py", SOURCE), ("b.py", SOURCE.replace("user", "client"))], "path string, text string")
+    functions = parsing.signatures(files)
+    asked = functions.join(files.filter("path = 'a.py'").select("path"), "path", "left_semi")
+    whole = s.neighbours(asked, functions, 3)
+    whole.explain()
+    assert "FlatMapCoGroupsInArrow" in (plan := capsys.readouterr().out) and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    monkeypatch.setattr(s, "BLOCK", 2)
+    monkeypatch.setattr(s, "CHUNK", 2)
+    assert sorted(s.neighbours(asked, functions, 3).collect()) == sorted(whole.collect()) and whole.count() > 10
