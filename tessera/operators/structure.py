@@ -16,6 +16,35 @@ def plain_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct()
 
 
+def weak_components(e: DataFrame) -> DataFrame:
+    """id and component, the same node for all that edges a, b connect either way, of every node; e is a table that cut() has written.
+
+    Each round a node joins the one that comes first, in an order of the round's own, of itself and those beside it, and nodes that
+    joined the same one are one node from then on. So each round has a fraction of the edges of the one before it."""
+    joined, rest = [], e
+    while not joined or not rest.isEmpty():
+        turn = F.lit(len(joined))
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        first = both.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.xxhash64("b", turn).alias("at"), F.col("b").alias("n"))).alias("first"))
+        joined.append(cut(first.select("id", F.least("first", F.struct(F.xxhash64("id", turn).alias("at"), F.col("id").alias("n")))["n"].alias("component"))))
+        left, right = (joined[-1].select(F.col("id").alias(f"{c}_id"), F.col("component").alias(f"{c}_of")) for c in ("a", "b"))
+        among = rest.join(left, F.col("a") == F.col("a_id")).join(right, F.col("b") == F.col("b_id"))
+        later = cut(among.select(F.least("a_of", "b_of").alias("a"), F.greatest("a_of", "b_of").alias("b")).filter("a <> b").distinct())
+        if rest is not e:
+            discard(rest)
+        rest = later
+    discard(rest)
+    out = joined.pop()
+    while joined:
+        before = joined.pop()
+        ends = out.select(F.col("id").alias("x"), F.col("component").alias("end"))
+        whole = cut(before.join(ends, F.col("component") == F.col("x"), "left").select("id", F.coalesce("end", "component").alias("component")))
+        discard(before)
+        discard(out)
+        out = whole
+    return out
+
+
 def _trimmed(e: DataFrame, passes: int = 3) -> DataFrame:
     """Edges that are left when those that start where none ends, or end where none starts, have gone again and again."""
     while True:

@@ -7,6 +7,7 @@ from collections import Counter, deque
 
 from tessera.operators import centrality
 from tessera.operators import structure as s
+from tessera.operators.lineage import cut
 
 
 def closure(edges):
@@ -103,3 +104,48 @@ def test_node_metrics(spark):
             r = got[x]
             assert (r.out_degree, r.in_degree, r.reachable or 0, r.dependents or 0) == (out, into, reach, dependents) and abs(r.betweenness - share) < 1e-12
     assert centrality.node_metrics(df.limit(0)).count() == 0
+
+
+def test_weak_components(spark):
+    edges = graph()
+    want = {x: x for e in edges for x in e}
+    while any(want[a] != want[b] for a, b in edges):
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    df = cut(spark.createDataFrame([e for e in edges if e[0] != e[1]], "a string, b string"))
+    got = {r.id: r.component for r in s.weak_components(df).collect()}
+    assert set(got) == {x for a, b in edges if a != b for x in (a, b)}
+    assert all((got[x] == got[y]) == (want[x] == want[y]) for x in got for y in got)
+    chain = cut(spark.createDataFrame([(k, k + 1) for k in range(300)] + [(400, k) for k in range(401, 700)], "a long, b long"))
+    assert Counter(Counter(r.component for r in s.weak_components(chain).collect()).values()) == {301: 1, 300: 1}
+    assert s.weak_components(cut(chain.limit(0))).count() == 0
+
+
+def test_node_metrics_in_blocks_and_rounds(spark, monkeypatch):
+    """A component in one task, one in blocks of sources that follow few edges at once, and one in rounds, with metrics of their own."""
+    rng = random.Random(3)
+    edges = [(f"s{rng.randrange(5)}", f"s{rng.randrange(5)}") for _ in range(6)]
+    edges += [(f"m{rng.randrange(14)}", f"m{rng.randrange(14)}") for _ in range(26)] + [(f"r{k}", f"r{(k + 1) % 9}") for k in range(9)] + [(f"r{rng.randrange(9)}", f"r{rng.randrange(9)}") for _ in range(30)]
+    monkeypatch.setattr(centrality, "SMALL", 8)
+    monkeypatch.setattr(centrality, "WORK", 60)
+    monkeypatch.setattr(centrality, "LARGE", 27)
+    monkeypatch.setattr(centrality, "STEPS", 12)
+    rounds, in_rounds = [], centrality._in_rounds
+    monkeypatch.setattr(centrality, "_in_rounds", lambda e, *rest: (rounds.append({r.a[0] for r in e.collect()}), in_rounds(e, *rest))[1])
+    want = betweenness(edges)
+    got = {r.id: r for r in centrality.node_metrics(spark.createDataFrame(edges, "from_id string, to_id string")).collect()}
+    assert rounds == [{"r"}]
+    assert set(got) == {x for a, b in edges if a != b for x in (a, b)}
+    loops = len(set(want) - set(got))
+    scale = (len(want) - 1) * (len(want) - 2) / ((len(want) - loops - 1) * (len(want) - loops - 2))
+    for x, r in got.items():
+        assert (r.out_degree, r.in_degree, r.reachable, r.dependents) == want[x][:4] and abs(r.betweenness - want[x][4] * scale) < 1e-12
+
+
+def test_node_metrics_writes_no_pairs(spark, monkeypatch):
+    """A ring has as many pairs of a node and one that it reaches as the square of its nodes."""
+    rows = []
+    monkeypatch.setattr(centrality, "cut", lambda df: (out := cut(df), rows.append(out.count()))[0])
+    ring = spark.createDataFrame([(k, (k + 1) % 24) for k in range(24)], "from_id long, to_id long")
+    assert {(r.reachable, r.dependents, round(r.betweenness, 9)) for r in centrality.node_metrics(ring).collect()} == {(23, 23, 0.5)}
+    assert sum(rows) <= 5 * 24
