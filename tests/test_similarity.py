@@ -128,3 +128,20 @@ def test_neighbours_meet_in_blocks(spark, monkeypatch, capsys):
     monkeypatch.setattr(s, "BLOCK", 2)
     monkeypatch.setattr(s, "CHUNK", 2)
     assert sorted(s.neighbours(asked, functions, 3).collect()) == sorted(whole.collect()) and whole.count() > 10
+
+
+def test_names_meet_in_blocks(spark, monkeypatch, capsys):
+    """No row is a pair that bounds rule out, and blocks and cells of any size give one result, also for names of more than 63 letters."""
+    rng = random.Random(8)
+    names = ["".join(rng.choices("abé😀", k=rng.choice((1, 3, 6, 9, 62, 63, 64, 65, 70, 300)))) for _ in range(80)]
+    names += [n[:5] + "z" + n[5:] for n in names[:40]]
+    a, b = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (names, names[::3]))
+    want = {(x, y): q for x in set(names) for y in set(names[::3]) if (q := ratio(x, y)) > 0.7}
+    found = s.close_names(a, b, 0.7)
+    assert {(r.left, r.right): r.ratio for r in found.collect()} == want and len(want) > 60
+    found.explain()
+    assert "FlatMapCoGroupsInArrow" in (plan := capsys.readouterr().out) and not any(x in plan for x in ("SortMergeJoin", "BroadcastHashJoin", "CartesianProduct", "NestedLoop"))
+    monkeypatch.setattr(s, "NAMES", 16)
+    monkeypatch.setattr(s, "CELLS", 700)
+    monkeypatch.setattr(s, "BLOCK", 8)
+    assert sorted(s.close_names(a, b, 0.7).collect()) == sorted(found.collect())
