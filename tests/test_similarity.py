@@ -143,5 +143,40 @@ def test_names_meet_in_blocks(spark, monkeypatch, capsys):
     assert "FlatMapCoGroupsInArrow" in (plan := capsys.readouterr().out) and not any(x in plan for x in ("SortMergeJoin", "BroadcastHashJoin", "CartesianProduct", "NestedLoop"))
     monkeypatch.setattr(s, "NAMES", 16)
     monkeypatch.setattr(s, "CELLS", 700)
-    monkeypatch.setattr(s, "BLOCK", 8)
+    monkeypatch.setattr(s, "OTHERS", 8)
     assert sorted(s.close_names(a, b, 0.7).collect()) == sorted(found.collect())
+
+
+def test_few_names_are_matched(monkeypatch):
+    """Of names with the same letters in other orders few are matched by blocks, and the best are those of all pairs, also with long
+    and equal names and with parts in common."""
+    import itertools
+    import json
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    names = ["f" + "".join(p) for p in itertools.permutations("123456")]
+    names += ["_".join(rng.choices(("load", "user", "é1", "A22", "x" * 40), k=rng.randrange(1, 5))) + rng.choice(("", "1", "12", "_21")) for _ in range(300)]
+    pick = lambda xs: rng.sample(xs, rng.randrange(len(xs) + 1))
+    functions = [SimpleNamespace(path=f"p{i % 7}", name=n, line=i, parameters=pick(["a", "b", "c"]), docstring=" ".join(pick(["read", "all", "rows"])), decorators=pick(["@x"])) for i, n in enumerate(names)]
+    parts = lambda n: sorted({p for p in (n.lower().split("_") if "_" in n else [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)", n)]) if p})
+    row = lambda f: {"path": f.path, "name": f.name, "line": f.line, "low": f.name.lower(), "parts": parts(f.name), "sets": json.dumps({"names": f.parameters, "words": f.docstring.split(), "marks": f.decorators})}
+    asked = functions[::25]
+    own, others = (pa.Table.from_pylist([row(f) for f in fs]) for fs in (asked, functions))
+    matched = []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            matched.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(s, "SequenceMatcher", Counted)
+    monkeypatch.setattr(s, "AT_ONCE", 50)
+    found = list(s._best_of(own, others, 4, 0.3))
+    assert len(matched) < len(asked) * len(functions) / 8
+    for i, a in enumerate(asked):
+        scores = {(b.path, b.name, b.line): round(score(a, b), 12) for b in functions if (b.path, b.name) != (a.path, a.name)}
+        mine = [(key, round(q, 12)) for x, key, q in found if x == i]
+        assert [q for _, q in mine] == [q for q in sorted(scores.values(), reverse=True)[:4] if q >= 0.3] and all(scores[key] == q for key, q in mine)
